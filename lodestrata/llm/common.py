@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,8 +63,21 @@ def stored(df: DataFrame, tag: str, *by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's sources to the executors, once for each Spark context: their Python needs no copy of its own."""
+    context, top = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if not getattr(context, f"_{top.name}_sent", False):
+        to = os.path.join(tempfile.mkdtemp(), f"{top.name}.zip")
+        with zipfile.ZipFile(to, "w") as out:
+            for p in sorted(top.rglob("*.py")):
+                out.write(p, str(p.relative_to(top.parent)))
+        context.addPyFile(to)
+        setattr(context, f"_{top.name}_sent", True)
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just doc_id and text; other columns, whatever they are called, play no part."""
+    ship(docs.sparkSession)
     return docs.select(name(id_col).alias("doc_id"), name(text_col).cast("string").alias("text"))
 
 

@@ -5,22 +5,80 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import token_counts, token_files
+from . import decontaminate, licenses, line_dedup, mixing, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _joined(values: Column) -> Column:
+    return F.array_join(values, ",")
+
+
+def _sha256(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+    starts, base = F.expr("transform(found, x -> x.start)"), F.expr("array_sort(array_distinct(transform(found, x -> x.label)))")
+    every = F.expr("array_sort(array_distinct(transform(shares, x -> x.label)))")
+    score = F.coalesce(F.array_max(F.expr("transform(shares, x -> x.share)")), F.lit(0.0))
+    return got.select("doc_id", "n_words", F.size("found").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), _joined(base).alias("base_labels"), _joined(every).alias("labels"), score.alias("score"), "n_blocks")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_lines", "n_dropped", _sha256(F.col("kept")).alias("kept_sha256"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return got.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), _sha256(_joined(F.col("item_ids"))).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "repeats")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op10_token_files)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scans, op2_token_counts, op3_line_dedup, op4_decontamination, op5_mixing, op10_token_files)}
+ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": r"""
+        WITH l AS (
+            SELECT doc_id, i, line, lower_key AS k FROM (
+                SELECT doc_id, unnest(range(len(a))) AS i, unnest(a) AS line, unnest(list_transform(a, lambda x: translate(trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS lower_key
+                FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents))),
+        r AS (SELECT k, max(doc_id) AS keeper FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5)
+        SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (r.k IS NOT NULL AND l.doc_id <> r.keeper) AS n_dropped,
+            sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (r.k IS NULL OR l.doc_id = r.keeper), '')) AS kept_sha256
+        FROM l LEFT JOIN r ON l.k = r.k GROUP BY l.doc_id""",
+    "op5_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('17:' || coalesce(doc_id::VARCHAR, '')) AS turn
+            FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size, ([3, 1, 2])[1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3] AS w FROM d GROUP BY source),
+        o AS (SELECT *, 2 * source_size AS cap, row_number() OVER (ORDER BY 2 * source_size / w, source) AS k FROM s),
+        v AS (SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM s)::DOUBLE - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+            / ((SELECT sum(w) FROM s) - coalesce(sum(w) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE AS level FROM o),
+        f AS (SELECT arg_min(level, k) AS level FROM v WHERE level <= cap::DOUBLE / w),
+        t AS (SELECT source, source_size, CASE WHEN f.level IS NULL OR cap <= f.level * w THEN cap::DOUBLE ELSE f.level * w END AS target FROM v, f),
+        g AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
+        c AS (SELECT d.*, g.source_size, g.target, g.whole, g.target - g.whole * g.source_size AS more,
+            sum(size) OVER (PARTITION BY d.source ORDER BY turn) AS upto, sum(size) OVER (PARTITION BY d.source, turn) AS same
+            FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+        e AS (SELECT source, max(turn) FILTER (upto - same / 2 <= more AND more > 0) AS last_turn FROM c GROUP BY source)
+        SELECT doc_id, size, source_size, target, (CASE WHEN turn <= last_turn THEN whole + 1 ELSE whole END)::BIGINT * size AS taken, (CASE WHEN turn <= last_turn THEN whole + 1 ELSE whole END)::BIGINT AS repeats
+        FROM c JOIN e ON c.source IS NOT DISTINCT FROM e.source""",
+}
