@@ -9,7 +9,9 @@ import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,16 +83,24 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(name(id_col).alias("doc_id"), name(text_col).cast("string").alias("text"))
 
 
+def pieces(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about `most` bytes of text; a longer text is a part by itself."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column).cast(pa.binary())), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = [0, *(np.nonzero(np.diff(ends // most))[0] + 1).tolist(), batch.num_rows] if batch.num_rows else []
+    for a, b in zip(cuts, cuts[1:]):
+        yield batch.slice(a, b - a)
+
+
 def map_texts(docs: DataFrame, each: Callable[[list, list[bytes]], dict], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """each(ids, UTF-8 texts) -> columns, for one Arrow batch of whole texts after another. A null text is empty."""
+    """each(ids, UTF-8 texts) -> columns, for a few MB of whole texts at a time. A null text is empty."""
     own = texts(docs, id_col, text_col)
     fields = f"doc_id {own.schema['doc_id'].dataType.simpleString()}, {schema}"
     names = own.sparkSession.createDataFrame([], fields).schema.names
     types = [None] * len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for batch in pieces(whole, 1):
                 ids, data = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
                 got = each(ids.to_pylist(), [x or b"" for x in data])
                 got = {"doc_id": ids, **got}

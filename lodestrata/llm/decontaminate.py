@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index for each shard of training text.
 
-A shard is the documents of one Arrow batch. Its words become numbers of the benchmark's vocabulary, 0 for all
+A shard is some MB of whole documents of one partition. Its words become numbers of the benchmark's vocabulary, 0 for all
 other words: a phrase cannot cross a 0, so only runs of vocabulary words as long as the shortest phrase
 are indexed, which loses no occurrence. FMIndex sorts their suffixes, keeps the last column in a wavelet matrix
 with rank blocks of 64 bits, and samples suffix positions. Phrases are searched backwards, all at once, and
@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import name, stored, texts, words
+from .common import name, pieces, stored, texts, words
 
 #: Characters of benchmark text in one slice.
 SLICE_CHARS = 2_000_000
+#: Bytes of text in a shard, about.
+SHARD_BYTES = 8 << 20
 #: Every so many positions of the text a suffix position is kept.
 SAMPLE = 8
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -235,7 +237,7 @@ def _search(docs: DataFrame, rows: list[tuple[str, str]], window: int, with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases.of(sent.value, window)
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, 1, SHARD_BYTES)):
             data = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
             split = [words(x) for x in data]
             spans, ids = find(phrases, split)
