@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, licenses, line_dedup, mixing, token_counts, token_files
+from . import decontaminate, language_id, licenses, line_dedup, mixing, pii, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -55,11 +55,23 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pii.find_personal(_table(spark, sf_dir, "documents"))
+    kinds = F.array(*(F.lit(k) for k in pii.KINDS))
+
+    def told(spans: Column) -> Column:
+        return _joined(F.transform(spans, lambda x: F.concat_ws(":", F.get(kinds, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))))
+
+    base = F.filter("spans", lambda x: x["base"])
+    counts = [F.size(F.filter(base, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{n}") for k, n in enumerate(pii.KINDS[: pii.BASE])]
+    return got.select("doc_id", *counts, _sha256(told(base)).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scans, op2_token_counts, op3_line_dedup, op4_decontamination, op5_mixing, op7_language_id, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scans, op2_token_counts, op3_line_dedup, op4_decontamination, op5_mixing, op7_language_id, op8_pii, op10_token_files)}
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": r"""
         WITH l AS (
