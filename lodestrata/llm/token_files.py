@@ -1,9 +1,10 @@
 """Token ids in files of canonical length-limited Huffman codes, and back.
 
-1. Count: every text is tokenized; counts of ids are added up over all documents.
-2. Code: package-merge gives the best code lengths of at most 16 bits; lengths alone define the canonical code.
-3. Write: documents, range-partitioned and sorted by id, become segments. A segment holds its documents' ids and
-   lengths, the code bits of all their tokens, and the bit offset of each block of 512 tokens.
+1. Tokenize: documents, range-partitioned and sorted by id, become segments of plain ids in the shared folder.
+2. Code: ids are counted over all segments; package-merge gives the best code lengths of at most 16 bits, and lengths
+   alone define the canonical code.
+3. Write: a segment holds its documents' ids and lengths, the code bits of all their tokens, and the bit offset of
+   each block of 512 tokens. The plain segments go.
 4. Read: blocks decode by table without each other; numpy steps through all blocks of a segment at once.
 
 The format: a folder of Parquet files. segments/: part, seq (ascending document order), ids_before (in the part),
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,14 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from tokenizers import Tokenizer
 
-from .common import scratch, texts
+from .common import drop_scratch, pieces, scratch, texts
 
 MOST_BITS = 16
 BLOCK = 512
-#: Tokens after which a segment ends (a document is never parted).
-SEGMENT = 1 << 17
-#: Chunks that a worker remembers before it starts afresh; distinct chunks counted before they are turned into ids.
-REMEMBERED, COUNTED = 800_000, 250_000
+#: Bytes of text in a segment, about (a document is never parted).
+SEGMENT_BYTES = 1 << 20
+#: Chunks that a worker remembers before it starts afresh.
+REMEMBERED = 1_000_000
 CONTROL = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
@@ -45,100 +46,112 @@ class Chunks(dict):
     The vocabularies here drop white space and look at nothing beyond it, so a text's ids are its chunks' ids.
     """
 
-    def __init__(self, tokenizer_json: str) -> None:
+    def __init__(self, tokenizer_json: str, end_id: int | None = None) -> None:
         super().__init__()
+        self.end_id = end_id
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.added = [a["content"] for a in json.loads(tokenizer_json)["added_tokens"]]
+        self.small = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.start()
 
     def start(self) -> None:
         self.clear()
-        self.ids, self.begins, self.sizes, self.filled = np.zeros(1 << 16, np.int32), np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int32), 0
+        self.ids, self.ends = array("i"), array("q", [0])
+        if self.end_id is not None:  # row 0
+            self.ids.append(self.end_id), self.ends.append(1)
+            self[None] = 0
 
-    def of(self, text: str) -> list[int]:
+    def of(self, chunk: str) -> list[int]:
         t = self.tokenizer
-        if any(a in text for a in self.added):
-            return t.encode(text, add_special_tokens=False).ids
         tokenize = t.model.tokenize
-        return [x.id for p, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(text)) for x in tokenize(p)]
+        if chunk.isascii() and chunk.isalpha():  # one pre-token, written as it is
+            return [x.id for x in tokenize(chunk.lower())]
+        if any(a in chunk for a in self.added):
+            return t.encode(chunk, add_special_tokens=False).ids
+        return [x.id for p, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(chunk)) for x in tokenize(p)]
 
     def __missing__(self, chunk: str) -> int:
-        ids, row = self.of(chunk), len(self)
-        while self.filled + len(ids) > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
-        if row == len(self.begins):
-            self.begins, self.sizes = np.resize(self.begins, 2 * row), np.resize(self.sizes, 2 * row)
-        self.ids[self.filled : self.filled + len(ids)] = ids
-        self.begins[row], self.sizes[row] = self.filled, len(ids)
-        self.filled += len(ids)
-        self[chunk] = row
+        self.ids.extend(self.of(chunk))
+        self.ends.append(len(self.ids))
+        row = self[chunk] = len(self)
         return row
 
     def chunks(self, text: str) -> list[str]:
         """Chunks; the whole text where Python and the library disagree on white space."""
         return [text] if any(c in text for c in CONTROL) else text.split()
 
-    def rows(self, text: str) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, self.chunks(text)), np.int64)
-
-    def spread(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of rows one after the other, and how many each row has."""
-        sizes = self.sizes[rows].astype(np.int64)
-        ends = np.cumsum(sizes)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begins[rows] - (ends - sizes), sizes)
-        return self.ids[at], sizes
-
-    def trim(self) -> None:
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts one after the other, and how many each has."""
+        rows = [np.fromiter(map(self.__getitem__, self.chunks(t)), np.int64) for t in texts]
+        per_text = np.array([len(r) for r in rows], np.int64)
+        rows = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        ids, ends = np.frombuffer(self.ids, np.int32), np.frombuffer(self.ends, np.int64)
+        if self.end_id is not None:
+            rows, per_text = np.insert(rows, np.cumsum(per_text), 0), per_text + 1
+        sizes = ends[rows + 1] - ends[rows]
+        to = np.cumsum(sizes)
+        at = np.arange(to[-1] if len(to) else 0) + np.repeat(ends[rows] - (to - sizes), sizes)
+        upto = np.concatenate([[0], to])[np.cumsum(per_text)]
+        out = ids[at], np.diff(upto, prepend=0)
+        del ids, ends  # else the arrays can't grow
         if len(self) > REMEMBERED:
             self.start()
+        return out
 
 
 _workers: dict[int, Chunks] = {}
 
 
-def _chunks(tokenizer_json: str) -> Chunks:
-    key = hash(tokenizer_json)
+def _chunks(tokenizer_json: str, end_id: int | None) -> Chunks:
+    """One for each worker, kept from task to task."""
+    key = hash((tokenizer_json, end_id))
     if key not in _workers:
         _workers.clear()
-        _workers[key] = Chunks(tokenizer_json)
+        _workers[key] = Chunks(tokenizer_json, end_id)
     return _workers[key]
 
 
-def _data(batch: pa.RecordBatch) -> list[str]:
-    return [x or "" for x in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+PLAIN = "part int, seq int, ids_before long, n_ids long, doc_ids array<long>, doc_tokens array<long>, width int, raw binary"
 
 
-def count_ids(docs: DataFrame, tokenizer_json: str, end_id: int | None) -> dict[int, int]:
-    """How often each id stands in all documents; the driver gets one row for each id of the vocabulary at most."""
-    sent = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
+def tokenize(docs: DataFrame, tokenizer_json: str, end_id: int | None) -> DataFrame:
+    """Segments of plain ids, in ascending doc_id within and across parts."""
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(tokenizer_json)
+    arrow = to_arrow_schema(spark.createDataFrame([], PLAIN).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen, n, total = _chunks(sent.value), Counter(), 0, np.zeros(1024)
-
-        def settle() -> None:
-            nonlocal total
-            times = np.fromiter(seen.values(), np.int64)
-            ids, sizes = own.spread(np.fromiter(map(own.__getitem__, seen), np.int64))
-            more = np.bincount(ids, np.repeat(times, sizes), len(total))
-            more[: len(total)] += total
-            total = more
-            seen.clear()
-            own.trim()
+        chunks, part = _chunks(sent.value, end_id), TaskContext.get().partitionId()
+        seq = before = 0
+        for batch in (piece for whole in batches for piece in pieces(whole, 1, SEGMENT_BYTES)):
+            ids, sizes = chunks.encode([x or "" for x in batch.column("text").to_pylist()])
+            raw = ids.astype(chunks.small)
+            row = [part, seq, before, len(ids), batch.column(0).to_pylist(), sizes, raw.itemsize, raw.tobytes()]
+            seq, before = seq + 1, before + len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, arrow)], schema=arrow)
+
+    ordered = docs.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
+    return ordered.mapInArrow(run, PLAIN)
+
+
+def _plain(raw: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(raw, np.uint16 if width == 2 else np.uint32)
 
+
+def count_ids(segments: DataFrame) -> dict[int, int]:
+    """How often each id stands in all documents; the driver gets one row for each id of the vocabulary at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1, np.int64)
         for batch in batches:
-            for text in _data(batch):
-                seen.update(own.chunks(text))
-                if len(seen) > COUNTED:
-                    settle()
-            n += batch.num_rows
-        settle()
-        if end_id is not None and n:
-            total = np.pad(total, (0, max(0, end_id + 1 - len(total))))
-            total[end_id] += n
+            for width, raw in zip(batch.column("width").to_pylist(), batch.column("raw")):
+                more = np.bincount(_plain(raw.as_py(), width), minlength=len(total))
+                more[: len(total)] += total
+                total = more
         ids = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(total[ids].astype(np.int64), pa.int64())], ["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(total[ids], pa.int64())], ["id", "n"])
 
-    got = docs.select("text").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    got = segments.select("width", "raw").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     return {r.id: r.n for r in got}
 
 
@@ -224,43 +237,23 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
     with open(tokenizer_path, encoding="utf-8") as f:
         source = f.read()
     own = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    bits = code_lengths(count_ids(own, source, end_id))
+    between = scratch(spark, "plain-ids")
+    tokenize(own, source, end_id).write.option("compression", "zstd").parquet(between)
+    plain = spark.read.schema(PLAIN).parquet(between)
+    bits = code_lengths(count_ids(plain))
     spark.createDataFrame(list(bits.items()), "id int, bits int").coalesce(1).write.parquet(f"{path}/codebook")
-    codes, lengths = canonical(bits)
-    sent = spark.sparkContext.broadcast((source, codes, lengths))
+    sent = spark.sparkContext.broadcast(canonical(bits))
     arrow = to_arrow_schema(spark.createDataFrame([], SEGMENTS).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        source, codes, lengths = sent.value
-        chunks, part = _chunks(source), TaskContext.get().partitionId()
-        seq = before = held = 0
-        doc_ids: list = []
-        sizes: list[int] = []
-        runs: list[np.ndarray] = []
-
-        def segment() -> pa.RecordBatch:
-            nonlocal seq, before, held
-            ids = np.concatenate(runs)
-            payload, block_bits = pack(ids, codes, lengths)
-            row = [part, seq, before, len(ids), doc_ids[:], sizes[:], block_bits, payload]
-            seq, before, held = seq + 1, before + len(ids), 0
-            doc_ids.clear(), sizes.clear(), runs.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, arrow)], schema=arrow)
-
-        end = np.array([] if end_id is None else [end_id], np.int32)
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), _data(batch)):
-                ids = np.concatenate([chunks.spread(chunks.rows(text))[0], end])
-                doc_ids.append(i), sizes.append(len(ids)), runs.append(ids)
-                held += len(ids)
-                if held >= SEGMENT:
-                    yield segment()
-            chunks.trim()
-        if doc_ids:
-            yield segment()
-
-    ordered = own.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, SEGMENTS).write.option("compression", "uncompressed").parquet(f"{path}/segments")
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                payload, block_bits = pack(_plain(one.column("raw")[0].as_py(), one.column("width")[0].as_py()), *sent.value)
+                yield pa.RecordBatch.from_arrays([*one.columns[:6], pa.array([block_bits], arrow.field("block_bits").type), pa.array([payload], pa.binary())], schema=arrow)
+
+    plain.mapInArrow(run, SEGMENTS).write.option("compression", "uncompressed").parquet(f"{path}/segments")
+    drop_scratch(spark, between)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
