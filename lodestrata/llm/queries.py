@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, licenses, line_dedup, mixing, pii, token_counts, token_files
+from . import decontaminate, language_id, licenses, line_dedup, mixing, near_dups, pii, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "repeats")
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.join_near(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "class_size")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     got = language_id.identify(docs, language_id.fit(docs))
@@ -71,7 +75,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scans, op2_token_counts, op3_line_dedup, op4_decontamination, op5_mixing, op7_language_id, op8_pii, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scans, op2_token_counts, op3_line_dedup, op4_decontamination, op5_mixing, op6_ngram_jaccard_join, op7_language_id, op8_pii, op10_token_files)}
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": r"""
         WITH l AS (
