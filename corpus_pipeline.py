@@ -4,11 +4,58 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestrata.llm import common
+from lodestrata.llm import common, decontaminate, language_id, mixing, near_dups, token_files
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+#: A text whose likeliest language has less than this share of its words is no text of one language; it goes.
+LEAST_SHARE = 0.4
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop what has no language."""
+    model = language_id.fit(docs)
+    told = language_id.identify(docs.select(F.struct("*").alias("row"), "text"), model, id_col="row")
+    return told.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select("doc_id.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of the smallest doc_id of each class, once."""
+    told = near_dups.join_near(docs)
+    kept = told.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents of which a twentieth or more is benchmark; cut what the others have of it."""
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    rest = [c for c in docs.columns if c != "text"]
+    got = decontaminate.decontaminate(docs.select(F.struct(*map(common.name, rest)).alias("row"), "text"), bench, with_text=True, id_col="row")
+    got = got.where((F.col("n_hit") == 0) | (20 * F.col("n_hit") < F.col("n_words"))).select("doc_id.*", "text", "n_hit")
+    if "n_chars" in rest:
+        got = got.withColumn("n_chars", F.when(F.col("n_hit") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return got.select(*map(common.name, docs.columns))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mixing.mixed(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files, and what they say of each document."""
+    return token_files.token_files(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language ID", language),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark_free),
+    ("mixing sources to target weights", mix),
+    ("token-ID / binary output", tokens),
+]
 
 #: Tokenizing, trained models and index searches are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

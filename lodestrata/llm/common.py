@@ -91,8 +91,8 @@ def pieces(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[
         yield batch.slice(a, b - a)
 
 
-def map_texts(docs: DataFrame, each: Callable[[list, list[bytes]], dict], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """each(ids, UTF-8 texts) -> columns, for a few MB of whole texts at a time. A null text is empty."""
+def map_texts(docs: DataFrame, each: Callable[[list[bytes]], dict], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """each(UTF-8 texts) -> columns, for a few MB of whole texts at a time. A null text is empty."""
     own = texts(docs, id_col, text_col)
     fields = f"doc_id {own.schema['doc_id'].dataType.simpleString()}, {schema}"
     names = own.sparkSession.createDataFrame([], fields).schema.names
@@ -102,7 +102,7 @@ def map_texts(docs: DataFrame, each: Callable[[list, list[bytes]], dict], schema
         for whole in batches:
             for batch in pieces(whole, 1):
                 ids, data = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
-                got = each(ids.to_pylist(), [x or b"" for x in data])
+                got = each([x or b"" for x in data])
                 got = {"doc_id": ids, **got}
                 yield pa.RecordBatch.from_arrays([got[n] if isinstance(got[n], pa.Array) else pa.array(got[n], type=t) for n, t in zip(names, types)], names)
 

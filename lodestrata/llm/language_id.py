@@ -268,7 +268,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     """doc_id, lang_pred, score (0 to 1), shares (each language's share of the words, for code-switched texts)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def each(ids: list, data: list[bytes]) -> dict:
+    def each(data: list[bytes]) -> dict:
         if sent.value is None:
             return {"lang_pred": [UNKNOWN] * len(data), "score": [0.0] * len(data), "shares": [{}] * len(data)}
         labeler = _labeler(sent.value)

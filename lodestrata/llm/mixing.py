@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import name, stored
@@ -28,11 +28,14 @@ from .common import name, stored
 SEED = 17
 
 
+def turn_of(doc_id: Column, seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+
+
 def sizes(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, size (runs of [^\\x20\\x09-\\x0D]), turn (place in the seeded order)."""
     own = docs.select(name(id_col).alias("doc_id"), name(source_col).cast("string").alias("source"), name(text_col).cast("string").alias("text"))
-    turn = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    # one mark for each run, whatever its length
+    turn = turn_of(F.col("doc_id"), seed)
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
     return own.select("doc_id", "source", size.alias("size"), turn.alias("turn"))
 
@@ -52,23 +55,41 @@ def targets(by_source: DataFrame, weights: Sequence[int] = (3, 1, 2), total_shar
     return own.select("source", "source_size", F.when(F.col("final").isNull() | (F.col("cap") <= F.col("final") * F.col("weight")), F.col("cap").cast("double")).otherwise(F.col("final") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), total_share: float = 1.5, most_epochs: int = 2, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target, repeats (times that the mix takes the document), taken (repeats x size)."""
-    own = stored(sizes(docs, seed, id_col, text_col, source_col).withColumn("bucket", F.substring("turn", 1, 3)), "mix-sizes")
-    buckets = own.groupBy("source", "bucket").agg(F.sum("size").alias("words")).transform(stored, "mix-buckets")  # 4096 rows a source at most
+def plan(own: DataFrame, weights: Sequence[int] = (3, 1, 2), total_share: float = 1.5, most_epochs: int = 2) -> DataFrame:
+    """From sizes(): a row for each source, with its target and what repeats() needs."""
+    own = own.withColumn("bucket", F.substring("turn", 1, 3))
+    buckets = stored(own.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "mix-buckets")  # 4096 rows a source at most
     goal = targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), weights, total_share, most_epochs)
     goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    goal = goal.withColumn("more", F.col("target") - F.col("whole") * F.col("source_size"))
-    goal = stored(goal, "mix-goals")
+    goal = stored(goal.withColumn("more", F.col("target") - F.col("whole") * F.col("source_size")), "mix-goals")
     in_turn = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = buckets.withColumn("upto", F.sum("words").over(in_turn)).join(goal, buckets["source"].eqNullSafe(goal["source"])).select(buckets["source"], "bucket", "words", "upto", "more")
     edge = filled.where((F.col("upto") - F.col("words") < F.col("more")) & (F.col("upto") >= F.col("more"))).select(F.col("source").alias("edge_source"), F.col("bucket").alias("edge_bucket"), (F.col("more") - F.col("upto") + F.col("words")).alias("left"))
     last = own.join(edge, own["source"].eqNullSafe(edge["edge_source"]) & (own["bucket"] == edge["edge_bucket"])).groupBy("source", "turn", "left").agg(F.sum("size").alias("size"))
     upto = F.sum("size").over(Window.partitionBy("source").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    last = last.withColumn("upto", upto).where(F.col("upto") - F.col("size") / 2 <= F.col("left")).groupBy("source").agg(F.max("turn").alias("last_turn"))
-    plan = goal.join(edge, goal["source"].eqNullSafe(edge["edge_source"]), "left").join(last.withColumnRenamed("source", "last_source"), goal["source"].eqNullSafe(F.col("last_source")), "left")
-    plan = plan.select(goal["source"].alias("plan_source"), "source_size", "target", "whole", "edge_bucket", "last_turn")
-    # within the edge's bucket up to its last document; all of the buckets before it
-    extra = F.col("edge_bucket").isNotNull() & ((F.col("bucket") < F.col("edge_bucket")) | ((F.col("bucket") == F.col("edge_bucket")) & F.coalesce(F.col("turn") <= F.col("last_turn"), F.lit(False))))
-    out = own.join(plan, own["source"].eqNullSafe(plan["plan_source"]))
-    return out.withColumn("repeats", F.col("whole") + extra.cast("long")).select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
+    last = last.withColumn("upto", upto).where(F.col("upto") - F.col("size") / 2 <= F.col("left")).groupBy(F.col("source").alias("last_source")).agg(F.max("turn").alias("last_turn"))
+    out = goal.join(edge, goal["source"].eqNullSafe(edge["edge_source"]), "left").join(last, goal["source"].eqNullSafe(F.col("last_source")), "left")
+    return stored(out.select(goal["source"].alias("plan_source"), "source_size", "target", "whole", "edge_bucket", "last_turn"), "mix-plan")
+
+
+def repeats() -> Column:
+    """How often the mix takes a row that has its turn and its source's plan: all of the buckets before the edge, and within its bucket up to the last document."""
+    bucket = F.substring("turn", 1, 3)
+    extra = (bucket < F.col("edge_bucket")) | ((bucket == F.col("edge_bucket")) & (F.col("turn") <= F.col("last_turn")))
+    return F.col("whole") + F.coalesce(extra, F.lit(False)).cast("long")
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), total_share: float = 1.5, most_epochs: int = 2, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, source, size, source_size, target, repeats (times that the mix takes the document), taken (repeats x size)."""
+    own = stored(sizes(docs, seed, id_col, text_col, source_col), "mix-sizes")
+    told = plan(own, weights, total_share, most_epochs)
+    out = own.join(told, own["source"].eqNullSafe(told["plan_source"])).withColumn("repeats", repeats())
+    return out.select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **goals: object) -> DataFrame:
+    """The mix itself: each row as often as it is taken, with its own columns."""
+    told = plan(stored(sizes(docs, seed, id_col, text_col, source_col), "mix-sizes"), **goals)
+    every = docs.select(F.struct("*").alias("row"), turn_of(name(id_col), seed).alias("turn"), name(source_col).cast("string").alias("of_source"))
+    out = every.join(told, F.col("of_source").eqNullSafe(F.col("plan_source")))
+    return out.select("row", F.explode(F.array_repeat(F.lit(1), repeats().cast("int")))).select("row.*")

@@ -201,7 +201,7 @@ def components(edges: DataFrame) -> DataFrame:
 def _signed(docs: DataFrame, size: int, d: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, set_id (null without words), keys, signature (a byte of each minimum)."""
 
-    def each(ids: list, data: list[bytes]) -> dict:
+    def each(data: list[bytes]) -> dict:
         signer, out = Signer(), {"set_id": [], "keys": [], "signature": []}
         for x in data:
             own = shingles(words(x), size)
@@ -259,7 +259,7 @@ def join_near(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall: fl
     own = texts(docs, id_col, text_col)
     bearers = signed.join(inside.select("set_id"), "set_id").groupBy("set_id").agg(F.min("doc_id").alias("bearer"))
 
-    def hashed(ids: list, data: list[bytes]) -> dict:
+    def hashed(data: list[bytes]) -> dict:
         made = [shingles(words(x), size) for x in data]
         return {"set_id": [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in made], "hashes": [s.tobytes() for s in made]}
 

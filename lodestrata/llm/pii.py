@@ -227,7 +227,7 @@ SPANS = "array<struct<kind:int,start:int,end:int,code:int,base:boolean>>"
 def find_personal(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, spans: kind, start, end, base, score (the classifier's), by kind, then start."""
 
-    def propose(ids: list, data: list[bytes]) -> dict:
+    def propose(data: list[bytes]) -> dict:
         keys = ("kind", "start", "end", "code", "base")
         return {"spans": [[dict(zip(keys, x)) for x in proposals(t.decode("utf-8", "replace"))] for t in data]}
 

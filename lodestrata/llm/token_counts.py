@@ -120,7 +120,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col
         source = f.read()
     sent = docs.sparkSession.sparkContext.broadcast((source, prove_whole_tokens(Tokenizer.from_str(source))))
 
-    def each(ids: list, data: list[bytes]) -> dict:
+    def each(data: list[bytes]) -> dict:
         counter = _counter(*sent.value)
         return {"n_bytes": [len(x) for x in data], "n_tokens": [counter.count(x.decode("utf-8", "replace")) if x else 0 for x in data]}
 
