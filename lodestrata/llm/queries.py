@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, licenses, line_dedup, mixing, near_dups, pii, token_counts, token_files
+from . import decontaminate, fingerprints, language_id, licenses, line_dedup, mixing, near_dups, pii, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -71,11 +71,15 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *counts, _sha256(told(base)).alias("base_sha256"), told(F.col("spans")).alias("spans"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scans, op2_token_counts, op3_line_dedup, op4_decontamination, op5_mixing, op6_ngram_jaccard_join, op7_language_id, op8_pii, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scans, op2_token_counts, op3_line_dedup, op4_decontamination, op5_mixing, op6_ngram_jaccard_join, op7_language_id, op8_pii, op9_fingerprints, op10_token_files)}
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": r"""
         WITH l AS (
