@@ -6,8 +6,6 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-SF = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -30,8 +28,3 @@ def log(spark):
         return spark.createDataFrame(full, "key string, ts_ns long, tombstone boolean, value binary, seq long")
 
     return make
-
-
-def shown(df, *names):
-    """Rows as sorted tuples, bytes as text."""
-    return sorted(tuple(bytes(v).decode() if isinstance(v, (bytes, bytearray)) else v for v in r) for r in df.select(*names).collect())

@@ -5,7 +5,7 @@ import struct
 import zlib
 
 import pytest
-from conftest import shown
+from helpers import shown
 from pyspark.sql import functions as F
 
 from lodestrata.functions import codec

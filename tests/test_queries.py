@@ -2,7 +2,7 @@
 
 import duckdb
 import pytest
-from conftest import SF
+from helpers import SF
 
 import __spark_entry__
 from lodestrata.plans import queries as q

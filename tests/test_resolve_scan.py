@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import shown
+from helpers import shown
 from pyspark.sql import functions as F
 
 from lodestrata.operators import history, resolve, scan
