@@ -67,7 +67,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _joined(F.transform(spans, lambda x: F.concat_ws(":", F.get(kinds, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))))
 
     base = F.filter("spans", lambda x: x["base"])
-    counts = [F.size(F.filter(base, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{n}") for k, n in enumerate(pii.KINDS[: pii.BASE])]
+
+    def of(kind: int) -> Column:
+        return F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long")
+
+    counts = [of(k).alias(f"n_{n}") for k, n in enumerate(pii.KINDS[: pii.BASE])]
     return got.select("doc_id", *counts, _sha256(told(base)).alias("base_sha256"), told(F.col("spans")).alias("spans"))
 
 
