@@ -34,12 +34,11 @@ def name(column: str) -> Column:
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder that all executors see: below spark.checkpoint.dir, which is set here only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        own = spark.sparkContext.getCheckpointDir()
-        base = os.path.dirname(own) if own else os.path.join(tempfile.gettempdir(), "checkpoints")
-        spark.conf.set("spark.checkpoint.dir", base)
+    """A new folder that all executors see: below spark.checkpoint.dir; one of its own only where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:  # as in tests: one machine
+        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints"))
+        base = spark.sparkContext.getCheckpointDir()
     path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     _made.append(path)
     return path
