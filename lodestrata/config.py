@@ -1,4 +1,7 @@
-"""Settings by section. A section with improper values falls back to its defaults, and is told."""
+"""Settings by section. A section with improper values falls back to its defaults, and is told.
+
+The names of sections and settings and their defaults are fixed values: configuration files have them.
+"""
 
 from __future__ import annotations
 

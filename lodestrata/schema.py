@@ -15,7 +15,7 @@ LOG = T.StructType(
         T.StructField("seq", T.LongType(), False),
     ]
 )
-#: The key under which quota state would be kept; users may neither read nor write it.
+#: A fixed value: the key under which quota state would be kept; users may neither read nor write it.
 RESERVED = "__tb__state"
 
 
