@@ -33,35 +33,34 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"[^\\n]{{1,{PIECE}}}"), F.lit(0)), lambda x: F.xxhash64(x)))
 
 
-def in_cell(key: str, cell: str, level: int) -> str:
-    """Is the key in the cell? Section cell div CELLS; a level has its own hash functions."""
-    return f"pmod(xxhash64({level}, {cell} div {CELLS}, {key}), {CELLS}) = {cell} % {CELLS}"
+def bits(key: str, level: int, at: int, mask: int) -> str:
+    """Some bits of a digest. A level has eleven of its own: three times three for cells, two for parts; after five levels digests are hashed anew."""
+    own = key if level < 5 else f"xxhash64({key}, {level // 5})"
+    return f"(shiftright({own}, {level % 5 * 11} + {at}) & {mask})"
 
 
 def sketch(keys: str, level: int = 0) -> Column:
-    return F.expr(f"""transform(sequence(0, {3 * CELLS - 1}), i -> aggregate(
-        filter({keys}, k -> {in_cell('k', 'i', level)}),
-        named_struct('n', 0, 'k', 0L, 'c', 0L),
-        (a, k) -> named_struct('n', a.n + 1, 'k', a.k ^ k, 'c', a.c ^ xxhash64('check', k))))""")
+    """Cells: n (count), k (xor of digests), c (xor of their checks); a digest is in the cell if its bits from s on are v."""
+    cells = ", ".join(f"named_struct('s', {3 * j}, 'v', {v}L)" for j in range(3) for v in range(CELLS))
+    return F.expr(f"""transform(array({cells}), p -> aggregate({keys}, named_struct('n', 0, 'k', 0L, 'c', 0L, 's', p.s, 'v', p.v),
+        (a, k) -> if({bits('k', level, 'a.s', CELLS - 1)} = a.v, named_struct('n', a.n + 1, 'k', a.k ^ k, 'c', a.c ^ xxhash64(k), 's', a.s, 'v', a.v), a)))""")
 
 
 def minus(a: str, b: str) -> Column:
-    return F.expr(f"zip_with({a}, {b}, (x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k, 'c', x.c ^ y.c))")
+    return F.expr(f"zip_with({a}, {b}, (x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k, 'c', x.c ^ y.c, 's', x.s, 'v', x.v))")
 
 
 def peeled(cells: str, level: int = 0) -> Column:
     """whole (all was recovered), plus and minus (digests recovered that the first or the second has alone)."""
-    pure = lambda n: f"array_distinct(transform(filter(s.cells, x -> x.n = {n} and x.c = xxhash64('check', x.k)), x -> x.k))"
-    # transform(array(x), v -> f(v))[0] names a value that is used more than once
-    left = f"""transform(array(named_struct('p', filter(u.p, k -> {in_cell('k', 'i', level)}), 'm', filter(u.m, k -> {in_cell('k', 'i', level)}))),
-        v -> if(size(v.p) + size(v.m) = 0, x, named_struct('n', x.n - size(v.p) + size(v.m),
-            'k', aggregate(concat(v.p, v.m), x.k, (a, k) -> a ^ k), 'c', aggregate(concat(v.p, v.m), x.c, (a, k) -> a ^ xxhash64('check', k)))))[0]"""
-    step = f"""transform(array(named_struct('p', {pure(1)}, 'm', {pure(-1)})),
-        u -> if(size(u.p) + size(u.m) = 0, named_struct('cells', s.cells, 'plus', s.plus, 'minus', s.minus, 'done', true),
-            named_struct('cells', transform(s.cells, (x, i) -> {left}), 'plus', s.plus + size(u.p), 'minus', s.minus + size(u.m), 'done', false)))[0]"""
-    return F.expr(f"""aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'plus', 0, 'minus', 0, 'done', false),
+    pure = "array_distinct(transform(filter(s.cells, x -> abs(x.n) = 1 and x.c = xxhash64(x.k)), x -> named_struct('k', x.k, 'n', x.n)))"
+    left = f"""aggregate(u, x, (a, q) -> if({bits('q.k', level, 'a.s', CELLS - 1)} = a.v,
+        named_struct('n', a.n - q.n, 'k', a.k ^ q.k, 'c', a.c ^ xxhash64(q.k), 's', a.s, 'v', a.v), a))"""
+    # transform(array(x), u -> f(u))[0] names a value that is used more than once
+    step = f"""transform(array({pure}), u -> if(size(u) = 0, named_struct('cells', s.cells, 'net', s.net, 'all', s.all, 'done', true),
+        named_struct('cells', transform(s.cells, x -> {left}), 'net', s.net + aggregate(u, 0, (a, q) -> a + q.n), 'all', s.all + size(u), 'done', false)))[0]"""
+    return F.expr(f"""aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'net', 0, 'all', 0, 'done', false),
         (s, r) -> if(s.done, s, {step}),
-        s -> named_struct('whole', not exists(s.cells, x -> x.n <> 0 or x.k <> 0 or x.c <> 0), 'plus', s.plus, 'minus', s.minus))""")
+        s -> named_struct('whole', not exists(s.cells, x -> x.n <> 0 or x.k <> 0 or x.c <> 0), 'plus', (s.all + s.net) div 2, 'minus', (s.all - s.net) div 2))""")
 
 
 def written(cells: str) -> Column:
@@ -115,8 +114,8 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     left = told.select("row", F.explode("again").alias("x")).select("row", "x.side", "x.a", "x.b")
     solved = []
     for level in range(1, LEVELS + 1):
-        part = lambda x, p, level=level: F.filter(x, lambda k: F.pmod(F.xxhash64(F.lit(-level), k), F.lit(FANOUT)) == p)
-        parts = left.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(FANOUT - 1)))).select("row", "side", part(F.col("a"), F.col("p")).alias("a"), part(F.col("b"), F.col("p")).alias("b"))
+        part = [F.expr(f"filter({x}, k -> {bits('k', level - 1, '9', FANOUT - 1)} = p) as {x}") for x in "ab"]
+        parts = left.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(FANOUT - 1)))).select("row", "side", *part)
         parts = parts.withColumn("of_a", sketch("a", level)).withColumn("of_b", sketch("b", level)).withColumn("d", minus("of_a", "of_b")).withColumn("d", peeled("d", level))
         keep = lambda c: F.when(~F.col("d.whole"), F.col(c)).alias(c)
         parts = stored(parts.select("row", "side", F.col("d.whole").alias("whole"), F.col("d.plus").alias("plus"), F.col("d.minus").alias("minus"), keep("a"), keep("b")), "peeled")
