@@ -17,6 +17,7 @@ Null and empty texts hold the end id alone. Repeated doc_ids follow each other,
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -30,6 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tokenizers import Tokenizer
 
 from .common import drop_scratch, pieces, scratch, texts
+from .token_counts import byte_letters
 
 MOST_BITS = 16
 BLOCK = 512
@@ -37,6 +39,11 @@ BLOCK = 512
 SEGMENT_BYTES = 1 << 20
 #: Chunks that a worker remembers before it starts afresh.
 REMEMBERED = 1_000_000
+#: Chunks of these need no normalizer: lower-case letters of U+0000..00FF, digits and signs, but for those that open an added token.
+LATIN = re.compile(r"[!-;=?-@\[-~ß-öø-ÿ]+")
+#: The pattern of the vocabularies that this shortcut serves, over such chunks; fixed, as their files have it.
+SPLIT = repr(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 CONTROL = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
@@ -51,6 +58,9 @@ class Chunks(dict):
         self.end_id = end_id
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.added = [a["content"] for a in json.loads(tokenizer_json)["added_tokens"]]
+        self.latin = SPLIT in str(json.loads(tokenizer_json)["pre_tokenizer"]) and "Lowercase" in str(json.loads(tokenizer_json)["normalizer"])
+        self.letters = {b: letter for letter, b in byte_letters().items()}
+        self.letters = {c: "".join(self.letters[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)}
         self.small = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.start()
 
@@ -64,16 +74,28 @@ class Chunks(dict):
     def of(self, chunk: str) -> list[int]:
         t = self.tokenizer
         tokenize = t.model.tokenize
-        if chunk.isascii() and chunk.isalpha():  # one pre-token, written as it is
-            return [x.id for x in tokenize(chunk.lower())]
         if any(a in chunk for a in self.added):
             return t.encode(chunk, add_special_tokens=False).ids
         return [x.id for p, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(chunk)) for x in tokenize(p)]
 
     def __missing__(self, chunk: str) -> int:
-        self.ids.extend(self.of(chunk))
+        low = chunk.lower()
+        if self.latin and LATIN.fullmatch(low):
+            if low != chunk:  # as its lower case
+                row = self[chunk] = self[low]
+                return row
+            word = low[:-1]
+            if low[-1] in ".,!?;:" and word.isalpha():  # a word and a sign
+                base = self[word]
+                ids = self.ids[self.ends[base] : self.ends[base + 1]] + self.ids[self.ends[self[low[-1]]] : self.ends[self[low[-1]] + 1]]
+            else:
+                tokenize = self.tokenizer.model.tokenize
+                ids = [x.id for p in ([low] if low.isalpha() else PIECES.findall(low)) for x in tokenize(p if p.isascii() else p.translate(self.letters))]
+        else:
+            ids = self.of(chunk)
+        self.ids.extend(ids)
         self.ends.append(len(self.ids))
-        row = self[chunk] = len(self)
+        row = self[chunk] = len(self.ends) - 2
         return row
 
     def chunks(self, text: str) -> list[str]:
