@@ -112,41 +112,69 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
 
 
 class Forest:
-    """Union-find over the rows of a unit."""
-
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def root(self, k: int) -> int:
-        while self.up[k] != k:
-            self.up[k] = self.up[self.up[k]]
-            k = self.up[k]
-        return k
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-
-    def edges(self) -> list[tuple[int, int]]:
-        return [(self.root(k), k) for k in range(len(self.up)) if self.root(k) != k]
+    """Components of rows, by label: the smallest. rows: where they stand in the unit, if they are some of it."""
+
+    def __init__(self, n: int, rows: np.ndarray | None = None) -> None:
+        self.label, self.parts, self.rows = np.arange(n), n, np.arange(n) if rows is None else rows
+
+    def join(self, rows: np.ndarray) -> None:
+        """These rows are one component."""
+        labels = np.unique(self.label[rows])
+        if len(labels) > 1:
+            self.label[np.isin(self.label, labels)] = labels[0]
+            self.parts -= len(labels) - 1
+
+    def edges(self, ids: list[str], inner: list[Forest] | None = None) -> list[tuple[str, str]]:
+        """(smallest id, other id) of each component: a star. Given forests of parts of the rows, whose own edges are known, just one
+        edge for each of their components."""
+        known = np.full(len(ids), -1)
+        for f in inner or ():
+            known[f.rows] = f.rows[f.label]
+        own: dict[int, list[int]] = {}
+        for k, label in enumerate(self.label.tolist()):
+            own.setdefault(label, []).append(k)
+        out = []
+        for members in own.values():
+            if len(members) > 1:
+                if inner is not None:  # one of each known component, its smallest id
+                    first: dict[int, str] = {}
+                    for k in members:
+                        first[int(known[k])] = min(ids[k], first.get(int(known[k]), ids[k]))
+                    names = sorted(first.values())
+                else:
+                    names = sorted(ids[k] for k in members)
+                out += [(names[0], x) for x in names[1:]]
+        return out
 
 
-def alike(signatures: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of candidate links among the rows of a bucket (bytes of signatures, sorted)."""
-    n, forest = len(signatures), Forest(len(signatures))
+def alike(signatures: np.ndarray, rows: np.ndarray | None = None) -> Forest:
+    """Components of candidate links among the rows of a bucket (bytes of signatures, sorted). It ends when all rows hang together."""
+    signatures = signatures if rows is None else signatures[rows]
+    n, forest = len(signatures), Forest(len(signatures), rows)
     covered = np.zeros(n, bool)
     for p in range(n):
         if not covered[p]:
             like = (signatures == signatures[p]).mean(1)
             covered |= like >= LIKE
-            for k in np.nonzero(like >= LINK)[0].tolist():
-                forest.join(p, k)
-    return forest.edges()
+            forest.join(np.nonzero(like >= LINK)[0])
+            if forest.parts == 1:
+                break
+    return forest
 
 
-def linked(sets: list[np.ndarray], threshold: float, blocks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Exact pairs (i < j) of Jaccard >= threshold; given the rows' blocks, only pairs across them."""
+def hanging(holds: np.ndarray, rows: np.ndarray | None = None) -> Forest:
+    """Components of a matrix of links."""
+    holds = holds if rows is None else holds[np.ix_(rows, rows)]
+    forest = Forest(len(holds), rows)
+    for k in np.nonzero(holds.any(1))[0]:
+        forest.join(np.append(np.nonzero(holds[k])[0], k))
+        if forest.parts == 1:
+            break
+    return forest
+
+
+def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which rows have Jaccard >= threshold, exactly, as a matrix."""
     n, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
     shared = np.zeros((n, n), np.float32)
     row = np.repeat(np.arange(n), sizes)
@@ -162,16 +190,11 @@ def linked(sets: list[np.ndarray], threshold: float, blocks: np.ndarray | None =
             part = np.zeros((n, min(4096, int(column[-1]) + 1 - c)), np.float32)
             part[row[a:b], column[a:b] - c] = 1
             shared += part @ part.T
-    both = sizes[:, None] + sizes[None, :]
-    i, j = np.nonzero(np.triu(shared >= threshold * (both - shared) - 1e-6, 1))
-    if blocks is not None:
-        across = blocks[i] != blocks[j]
-        i, j = i[across], j[across]
-    # in whole numbers, without rounding
-    exact = shared[i, j].astype(np.int64)
+    both = shared.astype(np.int64)  # counts are whole and below 2^24
     num, den = int(round(threshold * 1_000_000)), 1_000_000
-    holds = exact * den >= num * (sizes[i] + sizes[j] - exact)
-    return i[holds], j[holds]
+    holds = both * den >= num * (sizes[:, None] + sizes[None, :] - both)
+    np.fill_diagonal(holds, False)
+    return holds
 
 
 def in_blocks(rows: DataFrame, key: str, node: str, size: int = BLOCK) -> DataFrame:
@@ -235,6 +258,14 @@ def _units(rows: DataFrame, each: Callable[[pa.Table], tuple[list, ...] | None],
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
+def parts(unit: pa.Table, each: Callable[[np.ndarray], Forest]) -> list[Forest] | None:
+    """Of a pair of blocks, the forests of the two: units of their own have sent those edges."""
+    if unit.column("b1")[0] == unit.column("b2")[0]:
+        return None
+    blocks = unit.column("block").to_numpy()
+    return [each(np.nonzero(blocks == b)[0]) for b in np.unique(blocks)]
+
+
 def join_near(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, set_id, class_id (smallest doc_id of the class), n_links (other documents of Jaccard >= threshold, equal ones too), class_size."""
     signed = stored(_signed(docs, size, depth_for(threshold, recall), id_col, text_col), "signed")
@@ -247,10 +278,11 @@ def join_near(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall: fl
 
     def candidates(unit: pa.Table) -> tuple[list, list]:
         ids = unit.column("set_id").to_pylist()
-        pairs = alike(np.frombuffer(b"".join(unit.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1))
-        return [ids[a] for a, _ in pairs], [ids[b] for _, b in pairs]
+        signatures = np.frombuffer(b"".join(unit.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
+        pairs = alike(signatures).edges(ids, parts(unit, lambda rows: alike(signatures, rows)))
+        return [a for a, _ in pairs], [b for _, b in pairs]
 
-    units = in_blocks(spots, "key", "set_id").select("key", "b1", "b2", "set_id", "signature")
+    units = in_blocks(spots, "key", "set_id").select("key", "b1", "b2", "block", "set_id", "signature")
     groups = stored(components(_units(units, candidates, ["key", "b1", "b2"], "a string, b string", ["signature", "set_id"])), "groups")
 
     # one document's text for each set in a group
@@ -273,19 +305,17 @@ def join_near(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall: fl
         copies = unit.column("copies").to_numpy()
         if len(ids) < 2:
             return None
-        made = [np.frombuffer(x, np.uint64) for x in unit.column("hashes").to_pylist()]
-        across = unit.column("b1")[0].as_py() != unit.column("b2")[0].as_py()
-        i, j = linked(made, threshold, blocks if across else None)
-        links = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
-        forest = Forest(len(ids))
-        for a, b in zip(i.tolist(), j.tolist()):
-            forest.join(a, b)
+        holds = linked([np.frombuffer(x, np.uint64) for x in unit.column("hashes").to_pylist()], threshold)
+        pairs = hanging(holds).edges(ids, parts(unit, lambda rows: hanging(holds, rows)))
+        if unit.column("b1")[0] != unit.column("b2")[0]:  # the pairs inside a block count where it is alone
+            holds = holds & (blocks[:, None] != blocks[None, :])
+        links = holds @ copies
         some = np.nonzero(links)[0].tolist()
-        return [ids[forest.root(k)] for k in some], [ids[k] for k in some], [int(links[k]) for k in some]
+        return [*(a for a, _ in pairs), *[None] * len(some)], [*(b for _, b in pairs), *(ids[k] for k in some)], [*[None] * len(pairs), *(int(links[k]) for k in some)]
 
     found = stored(_units(bodies.select("key", "b1", "b2", "block", "set_id", "hashes", "copies"), verify, ["key", "b1", "b2"], "a string, b string, links long", ["set_id"]), "links")
-    classes = components(found.where("a <> b").select("a", "b"))
-    links = found.groupBy(F.col("b").alias("set_id")).agg(F.sum("links").alias("links"))
+    classes = components(found.where("a is not null").select("a", "b"))
+    links = found.where("links is not null").groupBy(F.col("b").alias("set_id")).agg(F.sum("links").alias("links"))
     own_sets = sets.select("set_id", "copies", "first_id")
     told = own_sets.join(classes, own_sets["set_id"] == classes["node"], "left").select("set_id", "copies", "first_id", F.coalesce("root", "set_id").alias("root"))
     named = told.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
