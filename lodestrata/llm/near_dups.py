@@ -207,18 +207,32 @@ def in_blocks(rows: DataFrame, key: str, node: str, size: int = BLOCK) -> DataFr
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """a, b -> node, root (smallest node it is connected with). Labels spread along edges and jump to their label's label, until none changes."""
-    edges = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = stored(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).select("node", F.least("node", "root").alias("root")), "labels")
-    while True:
-        near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
-        spread = labels.join(near, labels["node"] == near["a"]).select("node", F.least("root", "near").alias("root"), F.col("root").alias("before"))
-        spread = stored(spread, "labels")
-        up = spread.select(F.col("node").alias("up"), F.col("root").alias("top"))
-        jumped = stored(spread.join(up, spread["root"] == up["up"]).select("node", F.least("root", "top").alias("root"), (F.least("root", "top") != F.col("before")).alias("changed")), "labels")
-        if not jumped.where("changed").limit(1).count():
-            return jumped.select("node", "root")
-        labels = jumped.select("node", "root")
+    """a, b -> node, root (one node of each component; itself has a row too).
+
+    A round hooks each node to its smallest neighbour that is smaller, jumps along the hooks to their roots, and contracts the edges
+    to their ends' roots; edges within a root go. Stars are done after one round, and paths of n after one with log n jumps.
+    """
+
+    def between(df: DataFrame) -> DataFrame:
+        return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+
+    edges, labels = stored(between(edges), "edges"), None
+    while labels is None or edges.limit(1).count():
+        hooks = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
+        while True:  # until no root is hooked itself
+            hooks = stored(hooks, "hooks")
+            up = hooks.select(F.col("node").alias("at"), F.col("root").alias("top"))
+            if not hooks.join(up, hooks["root"] == up["at"], "left_semi").limit(1).count():
+                break
+            hooks = hooks.join(up, hooks["root"] == up["at"], "left").select("node", F.coalesce("top", "root").alias("root"))
+        if labels is None:
+            labels = hooks
+        else:
+            labels = stored(labels.join(up, labels["root"] == up["at"], "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(hooks), "labels")
+        for end, other in (("a", "b"), ("b", "a")):
+            edges = edges.join(up, edges[end] == up["at"], "left").select(F.coalesce("top", end).alias(end), other)
+        edges = stored(between(edges), "edges")
+    return labels.unionByName(labels.select(F.col("root").alias("node"), "root").distinct())
 
 
 def _signed(docs: DataFrame, size: int, d: int, id_col: str, text_col: str) -> DataFrame:
