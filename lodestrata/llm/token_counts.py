@@ -25,7 +25,7 @@ from tokenizers import Tokenizer
 from .common import map_texts
 
 #: White space as Unicode has it; what is no single plain space parts a text.
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 ODD_SPACE = re.compile(f"([{SPACE}]{{2,}}|[{SPACE.replace(' ', '', 1)}])")
 CONTROL = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Chunks remembered by a worker, besides the vocabulary's.
