@@ -299,6 +299,32 @@ def bloom_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.bloom_probe(log, "key", _bits(log), *BLOOM)
 
 
+#: The same for a filter of the whole log, sized by its distinct keys.
+WHOLE_KEYS = "(SELECT DISTINCT key FROM kv)"
+WHOLE_SIZE = f"(SELECT m, ceil(m / n * ln(2.0))::BIGINT AS k FROM (SELECT n, ceil(n * abs(ln(0.01)) / pow(ln(2.0), 2))::BIGINT AS m FROM (SELECT greatest(count(*), 1) AS n FROM {WHOLE_KEYS})))"
+WHOLE_BITS = f"SELECT DISTINCT key, ('0x' || substr(md5(encode(key) || unhex(lpad(hex(s), 8, '0'))), 1, 8))::BIGINT % m AS bit FROM {WHOLE_KEYS}, {WHOLE_SIZE}, range(16) r(s) WHERE s < k"
+
+
+def _whole(log: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """The log's distinct keys, and the size of a filter of them all."""
+    keys = log.select("key").distinct()
+    return keys, sketches.bloom_size(max(1, keys.count()), 0.01)
+
+
+@query(f"SELECT DISTINCT bit FROM ({WHOLE_BITS})")
+def bloom_bits_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every key of the log; bloom_bits has those of its first 1,000 writes."""
+    keys, size = _whole(event_log(spark, sf_dir))
+    return sketches.bloom_bits(keys, "key", *size)
+
+
+@query(f"SELECT key FROM ({WHOLE_BITS}) a LEFT JOIN (SELECT DISTINCT bit FROM ({WHOLE_BITS})) b USING (bit) GROUP BY key HAVING count(*) = count(b.bit)")
+def bloom_probe_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every key against the filter of them all: none may be missing."""
+    keys, size = _whole(event_log(spark, sf_dir))
+    return sketches.bloom_probe(keys, "key", sketches.bloom_bits(keys, "key", *size), *size)
+
+
 REGISTERS = """SELECT (('0x' || substr(d, 1, 4))::BIGINT >> 4) AS bucket, max(1 + length(regexp_extract(b, '(0*)$', 1))) AS rank
     FROM (SELECT md5(user_id::VARCHAR) AS d, lpad(bin(('0x' || substr(md5(user_id::VARCHAR), 1, 16))::UBIGINT), 64, '0') AS b FROM events) GROUP BY 1"""
 

@@ -36,3 +36,10 @@ def test_entry(spark):
 
 def test_others(spark):
     assert len(q.merkle_root(spark, SF).first()[0]) == 64 and q.record_crc(spark, SF).count() == 10_000
+
+
+def test_whole_filter_has_every_key(spark):
+    """The filter grows with the log, and leaves no key of it out."""
+    keys = q.event_log(spark, SF).select("key").distinct()
+    assert not keys.exceptAll(q.bloom_probe_whole(spark, SF)).count() and q.bloom_probe_whole(spark, SF).count() == keys.count()
+    assert q.bloom_bits_whole(spark, SF).count() > q.bloom_bits_whole(spark, SF.replace("sf0.01", "sf0.001")).count()
