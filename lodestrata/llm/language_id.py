@@ -8,7 +8,8 @@ gradients are exact, from forward-backward. A text is labelled word by word by f
 `CHAIN` words; the language is the one with the largest sum of word probabilities, the score its mean.
 
 The training sample is bounded: about `sample_docs` labelled documents of each language, chosen by hash of
-doc_id over all documents, of which at most `sample_words` words each, spread over the whole text, are used.
+doc_id over all documents, of which at most `sample_words` words each, spread over the whole text, are used. All languages
+are learned, however many and rare: chains grow with their number, and so do the model and the time of training.
 
 Null texts and texts without a letter get `und` and score 0. Documents without a language are not learned from; with
 none to learn from every text is `und`. Rows are labelled one by one, so repeated rows get the same.
@@ -17,6 +18,7 @@ Words have letters; digits and signs between them play no part.
 
 from __future__ import annotations
 
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -35,8 +37,12 @@ CHAIN = 64
 #: Rows of the table of weights, a power of two; the last row is for padding and stays 0.
 TABLE = 1 << 17
 FEATURES = 32
-#: Words whose features a worker remembers.
+#: Words whose features a worker remembers; fewer with very many labels.
 REMEMBERED = 400_000
+#: Numbers in an array over words and labels: with more, fewer words are taken at a time.
+CELLS = 1 << 25
+#: Training chains for each label, at least.
+LEAST_CHAINS = 140
 LETTER = regex.compile(r"\p{L}")
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Bytes of letters in ASCII texts and beyond; all others become spaces.
@@ -117,7 +123,7 @@ def train(samples: list[tuple[str, list[str]]], seed: int = 5, chain: int = 32,
         common = Counter(w for own in by[label] for w in own)
         for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:300]:
             lexicon.setdefault(w, k)
-    rng = np.random.default_rng(seed)
+    rng, chains = np.random.default_rng(seed), max(chains, LEAST_CHAINS * len(labels))
     rows: dict[str, int] = {}
     table: list[list[int]] = []
     at, gold = np.zeros((chain, chains), np.int64), np.zeros((chain, chains), np.int64)
@@ -140,7 +146,8 @@ def train(samples: list[tuple[str, list[str]]], seed: int = 5, chain: int = 32,
     for _ in range(epochs):
         for c in np.array_split(rng.permutation(chains), max(1, chains // batch)):
             own, truth = facts[at[:, c]], np.eye(n)[gold[:, c]]
-            both, expected = forward_backward(weights[own].sum(2).astype(np.float64), moves, starts)
+            scores = np.concatenate([weights[part].sum(2) for part in np.array_split(own, min(chain, -(-own.size * n // CELLS)))])
+            both, expected = forward_backward(scores.astype(np.float64), moves, starts)
             off = ((both - truth) / len(c)).astype(np.float32)
             used, where = np.unique(own, return_inverse=True)
             slope = np.stack([np.bincount(where.ravel(), np.repeat(off[..., k].ravel(), FEATURES), len(used)) for k in range(n)], 1).astype(np.float32)
@@ -163,15 +170,15 @@ class Labeler:
         self.scores = np.zeros((0, len(model.labels)), np.float32)
 
     def look_up(self, texts: list[list[str]]) -> np.ndarray:
-        rows = self.rows
-        if len(rows) > REMEMBERED:
+        rows, n = self.rows, len(self.model.labels)
+        if len(rows) > min(REMEMBERED, CELLS // n):
             rows.clear()
             self.scores = self.scores[:0]
         fresh = [w for w in set().union(*texts) if w not in rows] if texts else []
         if fresh:
-            made = [self.scores]
-            for k in range(0, len(fresh), 20_000):
-                some = fresh[k : k + 20_000]
+            made, step = [self.scores], max(1, min(20_000, CELLS // (FEATURES * n)))
+            for k in range(0, len(fresh), step):
+                some = fresh[k : k + step]
                 made.append(self.model.weights[padded([features(w, self.model.lexicon) for w in some])].sum(1))
             rows.update(zip(fresh, range(len(rows), len(rows) + len(fresh))))
             self.scores = np.concatenate(made)
@@ -189,9 +196,10 @@ class Labeler:
         slots = np.zeros((int(per.sum()) * CHAIN, n), np.float32)
         slots[where] = self.scores[rows]
         probabilities = np.empty((len(slots) // CHAIN, CHAIN, n), np.float32)
-        for k in range(0, len(probabilities), 4096):  # padding after a text's end has score 0: it only follows
-            part = slots.reshape(-1, CHAIN, n)[k : k + 4096].transpose(1, 0, 2)
-            probabilities[k : k + 4096] = marginals(np.ascontiguousarray(part), model.moves, model.starts).transpose(1, 0, 2)
+        step = max(1, min(4096, CELLS // (CHAIN * n)))
+        for k in range(0, len(probabilities), step):  # padding after a text's end has score 0: it only follows
+            part = slots.reshape(-1, CHAIN, n)[k : k + step].transpose(1, 0, 2)
+            probabilities[k : k + step] = marginals(np.ascontiguousarray(part), model.moves, model.starts).transpose(1, 0, 2)
         own = probabilities.reshape(-1, n)[where]
         text = np.repeat(np.arange(len(texts)), sizes)
         sums = np.stack([np.bincount(text, own[:, k], len(texts)) for k in range(n)], 1)
@@ -231,16 +239,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, sample_docs: int = 400, sample_words: int = 400, most_labels: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Train on documents that aren't held out and have a language (the commonest `most_labels` of them)."""
+def grouped(texts: list[list[str]], most: int) -> Iterator[list[list[str]]]:
+    """Texts in groups of about `most` words; a longer text ends its group."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def fit(docs: DataFrame, sample_docs: int = 400, sample_words: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+    """Train on documents that aren't held out and have a language, whichever it is."""
     ship(docs.sparkSession)
     known = docs.select(name(id_col).alias("doc_id"), name(text_col).cast("string").alias("text"), name(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_labels).collect()
-    if not counts:
-        return None
-    chance = F.lit(0.0)
-    for r in counts:
-        chance = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, sample_docs / r["count"]))).otherwise(chance)
+    chance = known.groupBy("lang").agg(F.least(F.lit(1.0), sample_docs / F.count(F.lit(1))).alias("chance"))  # a row for each language
     place = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,8 +264,8 @@ def fit(docs: DataFrame, sample_docs: int = 400, sample_words: int = 400, most_l
             own = [" ".join(spread(words_of(x), sample_words)) for x in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("lang").cast(pa.string()), pa.array(own, pa.string())], ["lang", "words"])
 
-    rows = known.where(place < chance).select("lang", "text").mapInArrow(each, "lang string, words string").collect()
-    return train([(r.lang, r.words.split()) for r in rows])
+    rows = known.join(F.broadcast(chance), "lang").where(place < F.col("chance")).select("lang", "text").mapInArrow(each, "lang string, words string").collect()
+    return train([(r.lang, [*map(sys.intern, r.words.split())]) for r in rows])
 
 
 _workers: dict[int, Labeler] = {}
@@ -273,7 +289,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
             return {"lang_pred": [UNKNOWN] * len(data), "score": [0.0] * len(data), "shares": [{}] * len(data)}
         labeler = _labeler(sent.value)
         labels, split = labeler.model.labels, [words_of(x.decode("utf-8", "replace")) for x in data]
-        means, _ = labeler.label(split)
+        means = np.concatenate([labeler.label(some)[0] for some in grouped(split, max(1, CELLS // len(labels)))]) if split else np.zeros((0, len(labels)))
         best = means.argmax(1)
         return {
             "lang_pred": [labels[k] if t else UNKNOWN for k, t in zip(best.tolist(), split)],

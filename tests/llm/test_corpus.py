@@ -235,6 +235,18 @@ def test_code_switching_and_edges(docs, documents):
     assert not language_id.identify(docs("a").where("false"), model).count()
 
 
+def test_rare_languages_are_learned(docs, monkeypatch):
+    """More than 64 languages: the rarest, too, are predicted."""
+    rng, names = random.Random(7), [f"{a}{b}" for a in "bcdfghjklm" for b in "aeiouyz"]
+    say = lambda k: " ".join(names[k] + rng.choice("aeiou") + rng.choice("nrst") for _ in range(30))
+    own = [(n, say(k), f"l{k:02}") for n, k in enumerate(k for k in range(70) for _ in range(12 if k < 64 else 8))]
+    monkeypatch.setattr(language_id, "CELLS", 1 << 20)  # pieces, too
+    model = language_id.fit(docs(*own))
+    assert model.labels == [f"l{k:02}" for k in range(70)]
+    got = {r.doc_id: r for r in language_id.identify(docs(*((k, say(k)) for k in range(70))), model).collect()}
+    assert sum(got[k].lang_pred == f"l{k:02}" for k in range(70)) >= 68 and all(got[k].lang_pred == f"l{k}" for k in range(64, 70))
+
+
 # the pipeline
 
 
