@@ -13,7 +13,8 @@ are learned, however many and rare: chains grow with their number, and so do the
 
 Null texts and texts without a letter get `und` and score 0. Documents without a language are not learned from; with
 none to learn from every text is `und`. Rows are labelled one by one, so repeated rows get the same.
-Words have letters; digits and signs between them play no part.
+Words have letters; digits and signs between them play no part. A run of more than `PIECE` letters, as scripts without spaces
+have them, is cut into words of as many, which overlap by two letters so that no n-gram is lost.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ CHAIN = 64
 #: Rows of the table of weights, a power of two; the last row is for padding and stays 0.
 TABLE = 1 << 17
 FEATURES = 32
+#: Letters of the longest word all of whose n-grams are features.
+PIECE = 10
 #: Words whose features a worker remembers; fewer with very many labels.
 REMEMBERED = 400_000
 #: Numbers in an array over words and labels: with more, fewer words are taken at a time.
@@ -53,15 +56,23 @@ SIMPLE = regex.compile(r"[\x00-\x7FÀ-ÖØ-öø-ÿ]*")
 
 def words_of(text: str) -> list[str]:
     if SIMPLE.fullmatch(text):
-        return text.lower().encode().translate(LETTERS).decode().split()
-    return WORD.findall(text.lower())
+        found = text.lower().encode().translate(LETTERS).decode().split()
+    else:
+        found = WORD.findall(text.lower())
+    out = []
+    for w in found:
+        if len(w) <= PIECE:
+            out.append(w)
+        else:
+            out += [w[k : k + PIECE] for k in range(0, len(w) - 2, PIECE - 2)]
+    return out
 
 
 def features(word: str, lexicon: dict[str, int]) -> list[int]:
     """Rows of the table of weights."""
     w, n = f"^{word}$", len(word)
     out = [f"p{word[:k]}" for k in range(1, min(3, n) + 1)] + [f"s{word[-k:]}" for k in range(1, min(3, n) + 1)]
-    out += [f"b{w[k : k + 2]}" for k in range(min(n + 1, 12))] + [f"t{w[k : k + 3]}" for k in range(min(n, 10))]
+    out += [f"b{w[k : k + 2]}" for k in range(n + 1)] + [f"t{w[k : k + 3]}" for k in range(n)]
     out.append("a" if word.isascii() else "u")
     if word in lexicon:
         out += [f"l{lexicon[word]}", f"w{word}"]

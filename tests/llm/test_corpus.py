@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
@@ -235,6 +236,19 @@ def test_code_switching_and_edges(docs, documents):
     assert not language_id.identify(docs("a").where("false"), model).count()
 
 
+def test_all_letters_of_long_runs_play_a_part(docs):
+    for word in ("abcdefghijk", "".join(chr(0x4E00 + k) for k in range(57)), "x" * 8 + "é" * 22):
+        told = {x for w in language_id.words_of(word) for x in language_id.features(w, {})}
+        grams = {f"{kind}{word[k : k + n]}" for kind, n in (("b", 2), ("t", 3)) for k in range(len(word) - n + 1)}
+        assert {zlib.crc32(g.encode()) % (language_id.TABLE - 1) for g in grams} <= told
+    assert all(len(language_id.features("abcdefghij"[:n], {"abcdefghij"[:n]: 0})) <= language_id.FEATURES for n in range(1, 11))
+    rng = random.Random(3)
+    say = lambda k: "".join(rng.choice(x) for x in ["一二三四五六七八九十"] * 20 + [("日月火水金土", "山川田木森林")[k]] * 40 + ["一二三四五六七八九十"] * 20)
+    model = language_id.fit(docs(*((n, say(n % 2), "ab"[n % 2]) for n in range(300))))
+    got = language_id.identify(docs(*((n, say(n % 2)) for n in range(200))), model).collect()
+    assert sum(r.lang_pred == "ab"[r.doc_id % 2] for r in got) > 195
+
+
 def test_rare_languages_are_learned(docs, monkeypatch):
     """More than 64 languages: the rarest, too, are predicted."""
     rng, names = random.Random(7), [f"{a}{b}" for a in "bcdfghjklm" for b in "aeiouyz"]
