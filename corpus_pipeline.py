@@ -22,11 +22,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest doc_id of each class, once. Rows without a doc_id all stay."""
-    told = near_dups.join_near(docs)
-    kept = told.where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.where("doc_id is null"))
+    """Keep one row of each class, that of the smallest doc_id (rows without one come last), and all rows without words once for each doc_id."""
+    # a row's key is its doc_id and text: rows that share it are copies, whichever of them stays
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"))
+    told = near_dups.join_near(docs.select(key.alias("key"), "text"), id_col="key")
+    kept = told.where("set_id is not null and doc_id = class_id").select(F.col("doc_id").alias("kept_key")).distinct()
+    wordless = told.where("set_id is null").select(F.col("doc_id").alias("kept_key")).distinct()
+    keyed = docs.withColumn("row_key", key)
+    named = keyed.join(kept.unionByName(wordless.where("not kept_key.unnamed")), F.col("row_key").eqNullSafe(F.col("kept_key")), "left_semi").dropDuplicates(["row_key"])
+    rest = keyed.where("doc_id is null").join(wordless.where("kept_key.unnamed"), F.col("row_key").eqNullSafe(F.col("kept_key")), "left_semi")
+    return named.unionByName(rest).drop("row_key")
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

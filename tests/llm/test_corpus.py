@@ -285,6 +285,15 @@ def test_pipeline(spark, documents):
     assert whole == rows(kept[4])
 
 
+def test_one_row_of_each_class_stays(spark, docs):
+    """Also of rows whose doc_id is null or repeated; rows without words are classes of their own."""
+    a, b, c = "a b c d e f", "one two three four five six seven", "k l m n o p q r"
+    own = docs((5, a), (None, a), (None, b), (None, b), (7, c), (7, a), (5, a), (9, c), (None, None), (None, None), (None, "!!"), (3, ""), (3, ""), (4, None))
+    got = corpus_pipeline.near_duplicates(spark, own, SF)
+    assert got.columns == own.columns
+    assert rows(got, "doc_id", "text") == sorted([(5, a), (None, b), (7, c), (None, None), (None, None), (None, "!!"), (3, ""), (4, None)], key=repr)
+
+
 def test_scratch_goes_below_the_shared_folder(spark):
     path = common.scratch(spark, "here")
     assert path.startswith(spark.conf.get("spark.checkpoint.dir"))
