@@ -15,14 +15,14 @@ def recency() -> list[Column]:
     return [F.col("ts_ns").desc(), F.col("source_rank").asc(), F.col("seq").desc()]
 
 
-def latest(log: DataFrame) -> DataFrame:
-    """The newest version of each key, tombstones too.
+def latest(log: DataFrame, *by: str) -> DataFrame:
+    """The newest version of each key, tombstones too; with other columns, of each key in each of their groups.
 
     Only predicates on the key may go below this. The rank filter is planned as a window group limit: each task
     keeps one row a key before the shuffle, so a key with very many versions sends few.
     """
     columns = log.columns
-    ranked = with_defaults(log).withColumn("_rank", F.row_number().over(Window.partitionBy("key").orderBy(*recency())))
+    ranked = with_defaults(log).withColumn("_rank", F.row_number().over(Window.partitionBy(*by, "key").orderBy(*recency())))
     return ranked.where("_rank = 1").select(*columns)
 
 

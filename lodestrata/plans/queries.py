@@ -175,6 +175,12 @@ def merge_subset_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.merge([log.where(resolve.run_of(CAPACITY) == k) for k in (2, 1, 0)])
 
 
+@query(f"SELECT *, seq // {3 * CAPACITY} AS level FROM kv QUALIFY row_number() OVER (PARTITION BY seq // {3 * CAPACITY}, key ORDER BY ts_ns DESC, seq DESC) = 1")
+def merge_every_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs a level, over the whole log, each level as one run; merge_subset_level has the first of them."""
+    return resolve.latest(event_log(spark, sf_dir).withColumn("level", resolve.run_of(3 * CAPACITY)), "level")
+
+
 @query(f"SELECT seq // {CAPACITY} AS run, count(*) AS writes, count(*) FILTER (tombstone) AS tombstones, count(DISTINCT key) AS keys FROM kv GROUP BY 1")
 def memtable_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_log(spark, sf_dir).groupBy(resolve.run_of(CAPACITY).alias("run")).agg(F.count(F.lit(1)).alias("writes"), F.count_if("tombstone").alias("tombstones"), F.count_distinct("key").alias("keys"))

@@ -38,6 +38,14 @@ def test_others(spark):
     assert len(q.merkle_root(spark, SF).first()[0]) == 64 and q.record_crc(spark, SF).count() == 10_000
 
 
+def test_every_level_is_merged(spark):
+    """The levels hold every key, the last write of the log among them; the first is merge_subset_level."""
+    got, log = q.merge_every_level(spark, SF), q.event_log(spark, SF)
+    assert got.select("key").distinct().count() == log.select("key").distinct().count()
+    first = got.where("level = 0").drop("level")
+    assert not first.exceptAll(q.merge_subset_level(spark, SF)).count() and first.count() == q.merge_subset_level(spark, SF).count()
+
+
 def test_whole_filter_has_every_key(spark):
     """The filter grows with the log, and leaves no key of it out."""
     keys = q.event_log(spark, SF).select("key").distinct()
