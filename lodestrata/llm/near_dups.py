@@ -1,10 +1,11 @@
-"""Jaccard join of documents' word shingles: an LSH forest of MinHash signatures, then exact verification.
+"""Jaccard join of documents' word shingles: LSH banding of MinHash signatures, then exact verification.
 
 1. Signatures. A document's shingles (five words; a document of fewer words is one shingle, one of none has none)
    are hashed to 64 bits. Documents of equal shingle sets are one set: exact copies are never paired.
-2. Forest. Each tree has its own `depth` minima as a set's path. Paths are matched on their first d steps; d starts at the
-   depth and is shortened until pairs at the threshold meet in some tree with the target probability (depth_for). Sets
-   under one prefix of one tree are a bucket, sorted by path, so that the longest shared prefixes are neighbours.
+2. Bands. Each of 16 trees has its own `depth` minima as a set's path, matched on its first d steps only: d is the longest at
+   which pairs at the threshold meet in some tree with the target probability, by formula and not from the data (depth_for).
+   At 0.8 that is 4, so this is banding of 16 x 4 minima: no prefix tree is built or descended, and the last two minima of a
+   path only serve in step 3. Sets of one prefix of one tree are a bucket, sorted by signature.
 3. Candidates. In a bucket a pivot takes in all sets whose signatures look alike; a set that looks at least `LIKE` like a
    pivot needs to be no pivot, and pivots join all that look `LINK` like them: by the triangle inequality sets at
    the threshold end in one candidate group (with the margin for estimates that these values hold). A bucket of more than BLOCK sets is
