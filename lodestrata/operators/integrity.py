@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codec import record_bytes, record_crc
+from ..sources.scratch import stored
 
 #: Levels of the tree that one shuffle folds.
 FOLD = 10
@@ -21,14 +22,18 @@ def corrupt(log: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """idx from 0 in a global order, without one task for all rows: range partitions are counted, then numbered by themselves."""
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    part, within = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    placed = placed.withColumn("_part", part)
-    sizes = placed.groupBy(F.col("_part").alias("_of")).agg(F.count(F.lit(1)).alias("n"))  # a row for each partition
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("n").over(Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    joined = placed.join(F.broadcast(offsets), placed["_part"] == offsets["_of"])
-    return joined.withColumn("idx", F.col("_before") + within).drop("_id", "_part", "_of", "n", "_before")
+    """idx from 0 in a global order, without one task for all rows.
+
+    Range partitions are sorted and written once, each row with its partition and its place there. Counts and offsets come from that one table: a plan
+    that ran twice might draw other bounds or coalesce otherwise. Rows that tie in `order` share their places out in any way.
+    """
+    names, mask = rows.columns, (1 << 33) - 1
+    placed = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    part, within = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit(mask))
+    sizes = placed.groupBy(part.alias("_of")).agg(F.count(F.lit(1)).alias("_n"))  # a row for each partition
+    offsets = sizes.select("_of", F.coalesce(F.sum("_n").over(Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    joined = placed.join(F.broadcast(offsets), part == offsets["_of"])
+    return joined.select(*names, (F.col("_before") + within).alias("idx"))
 
 
 def leaves(log: DataFrame) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+import struct
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codec import big_endian
@@ -58,6 +59,22 @@ def hll_merge(*registers: DataFrame) -> DataFrame:
     return every.groupBy("bucket").agg(F.max("rank").alias("rank"))
 
 
+def hll_dump(registers: DataFrame, p: int = 12) -> bytes:
+    """Precision (2 bytes, big-endian), number of registers (8) and a byte for each: 65,546 bytes at most."""
+    out = bytearray(1 << p)
+    for r in registers.collect():  # a row for each register
+        out[r["bucket"]] = r["rank"]
+    return struct.pack(">HQ", p, 1 << p) + bytes(out)
+
+
+def hll_load(spark: SparkSession, data: bytes) -> tuple[DataFrame, int]:
+    """Registers and precision of a dump; ValueError where its size doesn't fit."""
+    p, m = struct.unpack(">HQ", data[:10]) if len(data) >= 10 else (0, 0)
+    if not 4 <= p <= 16 or m != 1 << p or len(data) != 10 + m:
+        raise ValueError("no dump of registers")
+    return spark.createDataFrame([(k, r) for k, r in enumerate(data[10:]) if r], "bucket int, rank int"), p
+
+
 def hll_estimate(registers: DataFrame, p: int = 12) -> DataFrame:
     """One row with the estimate, corrected for small and large counts."""
     m, top = 1 << p, float(1 << 32)

@@ -58,6 +58,37 @@ def test_numbering_and_difference(log):
     assert integrity.difference(integrity.leaves(b), integrity.leaves(a)).where("idx = 3 and hash is null").count() == 1
 
 
+@pytest.mark.parametrize("settings", [{}, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k"}, {"spark.sql.adaptive.enabled": "false"}, {"spark.sql.adaptive.coalescePartitions.enabled": "false"}])
+def test_numbering_of_many_partitions(spark, settings):
+    """Every row once, numbered 0 to n - 1 in order, with a wide column that plays no part in it; partitions differ in size and hold ties."""
+    n, was = 60_000, spark.conf.get("spark.sql.shuffle.partitions")
+    own = settings | {"spark.sql.shuffle.partitions": "16"}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        rows = spark.range(n).select(F.md5((F.col("id") % 50_000).cast("string").cast("binary")).alias("key"), F.repeat(F.md5(F.col("id").cast("string").cast("binary")), 20).alias("wide"), F.col("id").alias("n"))
+        got = integrity.numbered(rows, "key")
+        assert got.columns == ["key", "wide", "n", "idx"]
+        first = got.agg(F.count("*"), F.min("idx"), F.max("idx"), F.count_distinct("idx"), F.count_distinct("n")).first()
+        assert tuple(first) == (n, 0, n - 1, n, n)
+        assert [r.key for r in got.orderBy("idx").select("key").collect()] == sorted(r.key for r in rows.select("key").collect())
+        assert got.where(F.col("wide") != F.repeat(F.md5(F.col("n").cast("string").cast("binary")), 20)).count() == 0
+    finally:
+        for k in own:
+            spark.conf.unset(k)
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def test_dump_of_registers(spark):
+    own = sketches.hll_registers(spark.range(500), "id", 8)
+    data = sketches.hll_dump(own, 8)
+    again, p = sketches.hll_load(spark, data)
+    assert p == 8 and len(data) == 266 and sorted(map(tuple, again.collect())) == sorted(map(tuple, own.collect()))
+    for bad in (b"", data[:-1], b"\0" * 300):
+        with pytest.raises(ValueError):
+            sketches.hll_load(spark, bad)
+
+
 def test_bloom(spark):
     m, k = sketches.bloom_size(1000, 0.05)
     own = spark.range(1000).select(F.col("id").cast("string").alias("x"))
