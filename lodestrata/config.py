@@ -97,6 +97,11 @@ class Config:
     #: Sections that fell back.
     improper: list[str] = field(default_factory=list)
 
+    @property
+    def segment_bytes(self) -> int:
+        """Of the write-ahead log: so many blocks of so many KB."""
+        return self.WriteAheadLogConfig.SegmentSize * self.BufferPoolConfig.BlockSize * 1024
+
     @classmethod
     def of(cls, sections: Mapping[str, Mapping[str, Any]] | None = None) -> Config:
         made = cls()

@@ -47,5 +47,5 @@ def with_defaults(log: DataFrame) -> DataFrame:
 
 
 def valid(log: DataFrame) -> DataFrame:
-    """Rows that may be stored: a key, a time, and no value on a tombstone."""
-    return log.where((F.length("key") > 0) & F.col("ts_ns").isNotNull() & (~F.col("tombstone") | F.col("value").isNull()))
+    """Rows that may be stored: a key that isn't reserved, a time, and no value on a tombstone."""
+    return log.where((F.length("key") > 0) & (F.col("key") != RESERVED) & F.col("ts_ns").isNotNull() & (~F.col("tombstone") | F.col("value").isNull()))
