@@ -22,7 +22,10 @@ def versions(log: DataFrame) -> DataFrame:
 
 
 def nth(log: DataFrame, version: int) -> DataFrame:
-    return versions(log).where(F.col("version") == version)
+    """A key's version by number, 0 its first. The bound on the rank is planned as a window group limit: each task sends version + 1 rows a key."""
+    columns = log.columns
+    ranked = with_defaults(log).withColumn("_rank", F.row_number().over(Window.partitionBy("key").orderBy(*_chronological())))
+    return ranked.where((F.col("_rank") <= version + 1) & (F.col("_rank") == version + 1)).select(*columns, (F.col("_rank") - 1).cast("long").alias("version"))
 
 
 def first(log: DataFrame) -> DataFrame:
@@ -36,8 +39,11 @@ def last(log: DataFrame) -> DataFrame:
     return ranked.where("_rank = 1").select(*columns)
 
 
-def at(log: DataFrame, ts_ns: int) -> DataFrame:
-    """Versions of exactly this time."""
+def at(log: DataFrame, ts_ns: int | DataFrame) -> DataFrame:
+    """Versions of exactly this time, or of the times in the one column of a DataFrame."""
+    if isinstance(ts_ns, DataFrame):
+        times = ts_ns.toDF("_at")
+        return log.join(times, log["ts_ns"] == times["_at"], "left_semi")
     return log.where(F.col("ts_ns") == ts_ns)
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def quota(events: DataFrame, most: int, refill_us: int, start_us: int, user: str = "user_id", time_us: str = "ts_us", *ties: str) -> DataFrame:
+def quota(events: DataFrame, most: int, refill_us: int, start_us: int | Column, user: str = "user_id", time_us: str = "ts_us", *ties: str) -> DataFrame:
     """Each event with allowed: whether it is among the first `most` of its user's window.
 
     Windows part a user's events, so a user with very many is no single group.

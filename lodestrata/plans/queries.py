@@ -25,7 +25,6 @@ history AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts_ns, seq) -
 MIDDLE = 1_705_276_800 * 10**9
 #: Writes that fill an instance, in the queries about runs.
 CAPACITY = 1_000
-BLOOM = sketches.bloom_size(1_000, 0.01)
 LOW, HIGH, PREFIX = "u000010:", "u000012:99", "u00001"
 HOUR_US, DAY_US = 3_600_000_000, 86_400_000_000
 
@@ -168,16 +167,9 @@ def merge_purge_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.merge(_halves(spark, sf_dir), purge=True)
 
 
-@query(f"SELECT * FROM kv WHERE seq // {CAPACITY} < 3 QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts_ns DESC, seq DESC) = 1")
-def merge_subset_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three oldest runs as one."""
-    log = event_log(spark, sf_dir)
-    return resolve.merge([log.where(resolve.run_of(CAPACITY) == k) for k in (2, 1, 0)])
-
-
 @query(f"SELECT *, seq // {3 * CAPACITY} AS level FROM kv QUALIFY row_number() OVER (PARTITION BY seq // {3 * CAPACITY}, key ORDER BY ts_ns DESC, seq DESC) = 1")
 def merge_every_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three runs a level, over the whole log, each level as one run; merge_subset_level has the first of them."""
+    """Three runs a level, over the whole log, each level as one run."""
     return resolve.latest(event_log(spark, sf_dir).withColumn("level", resolve.run_of(3 * CAPACITY)), "level")
 
 
@@ -229,8 +221,9 @@ def version_nth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT kv.* FROM kv WHERE ts_ns = (SELECT max(ts_ns) FROM kv)")
 def version_at_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The versions of the log's last moment."""
     log = event_log(spark, sf_dir)
-    return history.at(log, log.agg(F.max("ts_ns")).first()[0])
+    return history.at(log, log.agg(F.max("ts_ns").alias("last")))
 
 
 @query("SELECT * FROM history WHERE version = 0")
@@ -260,8 +253,8 @@ def as_of_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("ts_us"))
-    start = events.agg(F.min("ts_us")).first()[0] or 0
-    return quota.quota(events, 2, DAY_US, start, "user_id", "ts_us", "event_id")
+    timed = events.crossJoin(F.broadcast(events.agg(F.min("ts_us").alias("start"))))  # one row
+    return quota.quota(timed, 2, DAY_US, F.col("start"), "user_id", "ts_us", "event_id").drop("start")
 
 
 QUOTA = f"SELECT event_id, user_id, epoch_us(ts) AS ts_us, row_number() OVER (PARTITION BY user_id, (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) // {DAY_US} ORDER BY ts, event_id) <= 2 AS allowed FROM events"
@@ -286,49 +279,28 @@ def token_bucket_next_refill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("user_id", "last_us", (60 - F.floor((F.col("last_us") - F.col("start")) % 60_000_000 / 1_000_000)).alias("next_refill_s"))
 
 
-BITS = f"(('0x' || substr(md5(encode(key) || unhex(lpad(hex(s), 8, '0'))), 1, 8))::BIGINT % {BLOOM[0]})"
-BLOOM_BITS = f"SELECT DISTINCT {BITS} AS bit FROM (SELECT DISTINCT key FROM kv WHERE seq < 1000), range({BLOOM[1]}) r(s)"
+#: A filter of all live keys, sized by how many they are.
+BLOOM_SIZE = "(SELECT m, ceil(m / n * ln(2.0))::BIGINT AS k FROM (SELECT n, ceil(n * abs(ln(0.01)) / pow(ln(2.0), 2))::BIGINT AS m FROM (SELECT greatest(count(*), 1) AS n FROM live)))"
+BITS = "SELECT DISTINCT key, ('0x' || substr(md5(encode(key) || unhex(lpad(hex(s), 8, '0'))), 1, 8))::BIGINT % m AS bit FROM {}, " + BLOOM_SIZE + ", range(16) r(s) WHERE s < k"
 
 
-def _bits(log: DataFrame) -> DataFrame:
-    return sketches.bloom_bits(log.where("seq < 1000"), "key", *BLOOM)
+def _bloom(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, tuple[int, int]]:
+    """The bits of a filter of all live keys, and its size."""
+    keys = resolve.live(event_log(spark, sf_dir)).select("key")
+    size = sketches.bloom_size(max(1, keys.count()), 0.01)
+    return sketches.bloom_bits(keys, "key", *size), size
 
 
-@query(BLOOM_BITS)
+@query(f"SELECT DISTINCT bit FROM ({BITS.format('live')})")
 def bloom_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bits(event_log(spark, sf_dir))
+    return _bloom(spark, sf_dir)[0]
 
 
-@query(f"SELECT key FROM (SELECT DISTINCT key, {BITS} AS bit FROM (SELECT DISTINCT key FROM kv), range({BLOOM[1]}) r(s)) a LEFT JOIN ({BLOOM_BITS}) b USING (bit) GROUP BY key HAVING count(*) = count(b.bit)")
+@query(f"SELECT key FROM ({BITS.format('newest')}) a LEFT JOIN (SELECT DISTINCT bit FROM ({BITS.format('live')})) b USING (bit) GROUP BY key HAVING count(*) = count(b.bit)")
 def bloom_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = event_log(spark, sf_dir)
-    return sketches.bloom_probe(log, "key", _bits(log), *BLOOM)
-
-
-#: The same for a filter of the whole log, sized by its distinct keys.
-WHOLE_KEYS = "(SELECT DISTINCT key FROM kv)"
-WHOLE_SIZE = f"(SELECT m, ceil(m / n * ln(2.0))::BIGINT AS k FROM (SELECT n, ceil(n * abs(ln(0.01)) / pow(ln(2.0), 2))::BIGINT AS m FROM (SELECT greatest(count(*), 1) AS n FROM {WHOLE_KEYS})))"
-WHOLE_BITS = f"SELECT DISTINCT key, ('0x' || substr(md5(encode(key) || unhex(lpad(hex(s), 8, '0'))), 1, 8))::BIGINT % m AS bit FROM {WHOLE_KEYS}, {WHOLE_SIZE}, range(16) r(s) WHERE s < k"
-
-
-def _whole(log: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
-    """The log's distinct keys, and the size of a filter of them all."""
-    keys = log.select("key").distinct()
-    return keys, sketches.bloom_size(max(1, keys.count()), 0.01)
-
-
-@query(f"SELECT DISTINCT bit FROM ({WHOLE_BITS})")
-def bloom_bits_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every key of the log; bloom_bits has those of its first 1,000 writes."""
-    keys, size = _whole(event_log(spark, sf_dir))
-    return sketches.bloom_bits(keys, "key", *size)
-
-
-@query(f"SELECT key FROM ({WHOLE_BITS}) a LEFT JOIN (SELECT DISTINCT bit FROM ({WHOLE_BITS})) b USING (bit) GROUP BY key HAVING count(*) = count(b.bit)")
-def bloom_probe_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every key against the filter of them all: none may be missing."""
-    keys, size = _whole(event_log(spark, sf_dir))
-    return sketches.bloom_probe(keys, "key", sketches.bloom_bits(keys, "key", *size), *size)
+    """Every key that was ever written against the filter of the live ones: all of those, and a few that were deleted."""
+    bits, size = _bloom(spark, sf_dir)
+    return sketches.bloom_probe(event_log(spark, sf_dir), "key", bits, *size)
 
 
 REGISTERS = """SELECT (('0x' || substr(d, 1, 4))::BIGINT >> 4) AS bucket, max(1 + length(regexp_extract(b, '(0*)$', 1))) AS rank
@@ -388,21 +360,27 @@ def live_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.agg(F.count(F.lit(1)).alias("versions"), F.count_distinct("key").alias("keys"), F.coalesce(F.sum(F.octet_length("value")), F.lit(0)).cast("long").alias("bytes")).select(F.lit("memory").alias("source"), "versions", "keys", "bytes")
 
 
-@query()
+#: CRC-32 by its table of 256, which its polynomial gives; and records with their checksum before them.
+CRC = f"""kv_records AS (SELECT key, ts_ns, tombstone, value, seq, {RECORD} AS body FROM {{}}),
+crc_table AS (SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce(list_prepend(n::UBIGINT, range(8)::UBIGINT[]), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS c FROM range(256) r(n))),
+with_crc AS (SELECT * EXCLUDE (body, t), body, xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(octet_length(body)), lambda i: ('0x' || substr(hex(body), 2 * i + 1, 2))::UBIGINT)),
+    lambda c, b: xor(c >> 8, t[(1 + (xor(c, b) & 255))::BIGINT])))::BIGINT AS crc FROM kv_records, crc_table)
+"""
+NO_HASH = "'" + "0" * 64 + "'"
+
+
+@query(", " + CRC.format("newest") + f"""SELECT list_reduce(list_prepend(list(hash ORDER BY key), list_transform(range(64), lambda x: ['']::VARCHAR[])), lambda h, _: CASE WHEN len(h) = 1 THEN h ELSE
+    list_transform(range(0, len(h), 2), lambda k: sha256(unhex(h[k + 1]) || unhex(coalesce(h[k + 2], {NO_HASH})))) END)[1] AS root
+    FROM (SELECT key, sha256(unhex(lpad(hex(crc), 8, '0')) || body) AS hash FROM with_crc)""")
 def merkle_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.root(integrity.leaves(resolve.latest(event_log(spark, sf_dir))).select("idx", "hash"))
 
 
-@query()
+@query(", " + CRC.format("kv") + "SELECT * EXCLUDE (body) FROM with_crc")
 def record_crc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.with_crc(event_log(spark, sf_dir))
 
 
-@query()
-def approx_distinct_builtin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.approx_count_distinct("user_id").alias("users"))
-
-
 @query("SELECT key, value FROM live ORDER BY key LIMIT 25")
 def iterator_first_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first rows of an iterator over all keys."""
