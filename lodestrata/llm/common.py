@@ -1,10 +1,9 @@
-"""What the operators share: scratch folders, words, and mapping texts through Arrow."""
+"""What the operators share: words, and mapping texts through Arrow."""
 
 from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -15,14 +14,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import drop_scratch, freed, scratch, stored  # noqa: F401  for the operators
+
 #: Bytes of words: 0-9, a-z and everything beyond ASCII; A-Z become a-z and the rest become spaces.
 #: With split() this equals finding [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ in a text whose A-Z are lower-cased.
 WORD_BYTES = bytes(b if 48 <= b < 58 or 97 <= b < 123 or b >= 128 else b + 32 if 65 <= b < 91 else 32 for b in range(256))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_made: list[str] = []
-
-
 def words(data: bytes) -> list[bytes]:
     """The words of a UTF-8 text."""
     return data.translate(WORD_BYTES).split()
@@ -33,37 +31,6 @@ def name(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder that all executors see: below spark.checkpoint.dir; one of its own only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:  # as in tests: one machine
-        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints"))
-        base = spark.sparkContext.getCheckpointDir()
-    path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    _made.append(path)
-    return path
-
-
-def drop_scratch(spark: SparkSession, path: str | None = None) -> None:
-    """Delete one scratch folder, or all that this process made. Results read from them are gone after that."""
-    jvm = spark.sparkContext._jvm
-    for one in [path] if path else list(_made):
-        where = jvm.org.apache.hadoop.fs.Path(one)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        if one in _made:
-            _made.remove(one)
-
-
-def stored(df: DataFrame, tag: str, *by: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: a lost executor costs no more than what it was reading."""
-    path = scratch(df.sparkSession, tag)
-    out = df.write
-    if by:
-        out = out.partitionBy(*by)
-    out.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ship(spark: SparkSession) -> None:
     """Send this package's sources to the executors, once for each Spark context: their Python needs no copy of its own."""
     context, top = spark.sparkContext, Path(__file__).resolve().parents[1]

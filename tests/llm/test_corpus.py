@@ -164,37 +164,64 @@ def test_near_duplicate_query(spark, documents):
 
 
 def pieces(t):
-    return set(re.findall("[^\n]{1,160}", t))
+    width = 1
+    while width * 16 <= len(t):
+        width *= 2
+    return set(re.findall("[^\n]{1,160}", t)) | ({("short", t[k : k + width]) for k in range(0, len(t), width)} if len(t) < 480 else set())
 
 
 def like(a, b):
     return 1.0 if not a | b else len(a & b) / len(a | b)
 
 
+def check_fingerprint(r, t, n):
+    third = len(t) // 3
+    edited = t[: len(t) - third] + n[:third]
+    assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+    assert r.near_edited == pytest.approx(like(pieces(t), pieces(edited))) and r.near_next == pytest.approx(like(pieces(t), pieces(n)))
+    assert (r.fingerprint == r.edited_fingerprint) == (pieces(t) == pieces(edited))
+
+
 def check_fingerprints(got, texts):
     order = sorted(texts, key=lambda x: (x[0] is None, -(x[0] or 0)))
     for k, (i, t) in enumerate(order):
-        n, third = order[(k + 1) % len(order)][1], len(t) // 3
-        edited, r = t[: len(t) - third] + n[:third], got[i]
-        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert r.near_edited == pytest.approx(like(pieces(t), pieces(edited))) and r.near_next == pytest.approx(like(pieces(t), pieces(n)))
-        assert (r.fingerprint == r.edited_fingerprint) == (pieces(t) == pieces(edited))
+        check_fingerprint(got[i], t, order[(k + 1) % len(order)][1])
 
 
-def test_fingerprint_query(spark, documents):
-    check_fingerprints({r.doc_id: r for r in queries.op9_fingerprints(spark, SF).collect()}, [(r.doc_id, r.text or "") for r in documents.collect()])
+@pytest.mark.parametrize("bucket", [4000, 7])
+def test_fingerprint_query(spark, documents, monkeypatch, bucket):
+    """In one bucket and in 142. Every text is liker to its own edited version than to the next document."""
+    monkeypatch.setattr(fingerprints, "BUCKET", bucket)
+    got = {r.doc_id: r for r in queries.op9_fingerprints(spark, SF).collect()}
+    check_fingerprints(got, [(r.doc_id, r.text or "") for r in documents.collect()])
+    assert all(r.near_edited > r.near_next for r in got.values())
 
 
 def test_fingerprint_edges(spark, docs, monkeypatch):
     monkeypatch.setattr(fingerprints, "BUCKET", 2)
     long = "\n".join(f"line {k} é日" for k in range(3000))
-    texts = [(1, None), (3, ""), (5, "one\ntwo\nthree"), (8, "x" * 1000), (13, long), (14, long + "\nmore"), (None, "last")]
+    texts = [(1, None), (3, ""), (5, "one\ntwo\nthree"), (8, "x" * 1000), (13, long), (14, long + "\nmore"), (20, "é"), (21, "abc"), (22, "日本語テキスト" * 9), (None, "last")]
     got = {r.doc_id: r for r in fingerprints.fingerprint(docs(*texts)).collect()}
     check_fingerprints(got, [(i, t or "") for i, t in texts])
     assert fingerprints.fingerprint(docs((1, "a\nb\nc"))).first().near_next == 1
     assert fingerprints.fingerprint(docs((2, "a"), (2, "a"))).count() == 2 and not fingerprints.fingerprint(docs("a").where("false")).count()
 
 
+def test_fingerprints_of_repeated_rows_and_text_ids(spark, docs, monkeypatch):
+    """Rows that repeat a document by the hundred, rows of one id or none with many texts, ids that are no numbers."""
+    monkeypatch.setattr(fingerprints, "BUCKET", 5)
+    own = docs(*[(7, "seven " * 9)] * 150, *[(None, None)] * 100, *((None, f"text {k}") for k in range(40)), *((9, f"nine {k}") for k in range(40)), *((k, f"doc {k}") for k in range(20, 50)))
+    got = fingerprints.fingerprint(own).collect()
+    assert Counter(r.doc_id for r in got) == {7: 150, None: 140, 9: 40} | dict.fromkeys(range(20, 50), 1)
+    by = {k: [r for r in got if r.doc_id == k] for k in (7, None, 9, 20)}
+    assert sum(r.near_next == 1 for r in by[7]) == 149 and sum(r.n_chars == 0 and r.near_next == 1 for r in by[None]) == 99
+    assert len({r.fingerprint for r in by[9]}) == 40
+    named = own.where("doc_id >= 20").selectExpr("concat('d', doc_id) as doc_id", "text")
+    told = {r.doc_id: r for r in fingerprints.fingerprint(named).collect()}
+    for k in range(20, 50):
+        check_fingerprint(told[f"d{k}"], f"doc {k}", f"doc {k - 1 if k > 20 else 49}")
+
+
 # language
 
 
