@@ -138,11 +138,54 @@ def test_repeated_rows_are_copies(docs):
     assert rows(got, "doc_id", "class_id", "n_links") == sorted([(4, 2, 3), (4, 2, 3), (2, 2, 3), (None, 2, 3), (9, 9, 0)], key=repr)
 
 
-def test_depth_meets_the_recall():
+def test_prefixes_are_shortened_until_the_recall(docs, monkeypatch):
     for s in (0.5, 0.8, 0.95):
-        d = near_dups.depth_for(s)
-        assert d == 1 or 1 - (1 - s**d) ** near_dups.TREES >= near_dups.RECALL
-    assert near_dups.depth_for(0.8) == 4
+        depth = next(d for d in range(near_dups.DEPTH, 0, -1) if near_dups.deep_enough({}, d, s))
+        assert depth == 1 or near_dups.meeting(s, depth) >= near_dups.RECALL
+    assert not near_dups.deep_enough({0: 1, 9: 1000}, 5, 0.8) and near_dups.deep_enough({0: 0, 3: 1}, 6, 0.8) and not near_dups.deep_enough({1: 5}, 6, 0.8) and near_dups.deep_enough({1: 5}, 5, 0.8)
+    searched, met = [], near_dups._met
+    monkeypatch.setattr(near_dups, "_met", lambda sets, depth, threshold: searched.append(depth) or met(sets, depth, threshold))
+    base = [f"w{k}" for k in range(400)]
+    close = [" ".join([*base[:k], "other", *base[k + 1 :]]) for k in (0, 100, 399)]
+    assert near_dups.join_near(docs(*close)).where("n_links = 2").count() == 3 and searched == [6]  # close copies: no need of shorter prefixes
+    far = [" ".join(base[:200]), " ".join(["other" if k % 40 == 20 else w for k, w in enumerate(base[:200])][:160] + base[160:200])]
+    searched.clear()
+    assert near_dups.join_near(docs(*far)).count() == 2 and searched[:2] == [6, 5]
+
+
+def test_pairs_belong_to_one_node_each():
+    """Every pair that shares a prefix in some tree is found once, at its longest one, whatever the blocks."""
+    rng = np.random.default_rng(4)
+    paths = rng.integers(0, 3, (60, near_dups.TREES, near_dups.DEPTH)).astype("<u2")
+    longest = lambda a, b: max(int(np.argmin([*(a[t] == b[t]), False])) for t in range(near_dups.TREES))
+    found = Counter()
+    for depth in range(6, 3, -1):
+        codes = near_dups.prefixes(paths, depth)
+        for tree in range(near_dups.TREES):
+            for code in np.unique(codes[:, tree]):
+                own = np.nonzero(codes[:, tree] == code)[0]
+                unit = {"end": np.full(len(own), len(own)), "cross": np.zeros(len(own), bool), "block": np.zeros(len(own)), "tree": np.full(len(own), tree), "depth": np.full(len(own), depth), "size": np.full(len(own), 9), "paths": paths[own]}
+                for i, j, _ in near_dups.candidates(unit, 0.2):
+                    found.update((int(own[x]), int(own[y]), depth) for x, y in zip(i, j))
+    assert set(found.values()) == {1}
+    assert {(i, j, d) for i in range(60) for j in range(i + 1, 60) if (d := longest(paths[i], paths[j])) >= 4} == set(found)
+
+
+def test_links_are_exact():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(40)]
+    pairs = np.array([(i, j) for i in range(40) for j in range(i + 1, 40)]).T
+    want = [len(np.intersect1d(sets[i], sets[j])) >= 0.4 * len(np.union1d(sets[i], sets[j])) for i, j in pairs.T]
+    first = rng.random(40) < 0.5
+    cross = first[pairs[0]] != first[pairs[1]]
+    assert near_dups.linked(sets, *pairs, 0.4).tolist() == want and near_dups.linked(sets, *pairs[:, :50], 0.4).tolist() == want[:50]
+    assert near_dups.linked(sets, *pairs[:, cross], 0.4, first).tolist() == [w for w, c in zip(want, cross) if c]
+    holds = np.array(want)
+    edges, up = near_dups.stars(40, *pairs[:, holds], [f"{k:02}" for k in range(40)]), {}
+    for a, b in edges:
+        assert a < b and b not in up and a not in up
+        up[b] = a
+    assert all(up.get(f"{i:02}", f"{i:02}") == up.get(f"{j:02}", f"{j:02}") for i, j in pairs[:, holds].T)
 
 
 def test_near_duplicate_query(spark, documents):
