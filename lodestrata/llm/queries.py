@@ -90,9 +90,9 @@ ORACLE_SQL: dict[str, str] = {
             SELECT doc_id, i, line, lower_key AS k FROM (
                 SELECT doc_id, unnest(range(len(a))) AS i, unnest(a) AS line, unnest(list_transform(a, lambda x: translate(trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS lower_key
                 FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents))),
-        r AS (SELECT k, max(doc_id) AS keeper FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5)
-        SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (r.k IS NOT NULL AND l.doc_id <> r.keeper) AS n_dropped,
-            sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (r.k IS NULL OR l.doc_id = r.keeper), '')) AS kept_sha256
+        r AS (SELECT k, max(doc_id) AS keeper FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) + bool_or(doc_id IS NULL)::INT >= 5)
+        SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (r.k IS NOT NULL AND l.doc_id IS DISTINCT FROM r.keeper) AS n_dropped,
+            sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (r.k IS NULL OR l.doc_id IS NOT DISTINCT FROM r.keeper), '')) AS kept_sha256
         FROM l LEFT JOIN r ON l.k = r.k GROUP BY l.doc_id""",
     "op5_mixing": r"""
         WITH d AS (

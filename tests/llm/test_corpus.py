@@ -29,26 +29,35 @@ def test_sql(spark, name):
 
 def brute_lines(texts, least_chars, least_docs):
     key = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x.strip(" \t\n\x0b\x0c\r"))
-    docs, keeper = Counter(), {}
+    holders = defaultdict(set)
     for i, t in texts:
-        for k in {key(x) for x in (t or "").split("\n")}:
-            docs[k] += 1
-            keeper[k] = i if keeper.get(k) is None else max(keeper[k], -1 if i is None else i)
+        for x in (t or "").split("\n"):
+            holders[key(x)].add(i)
+    keeper = {k: max(v, key=lambda i: (i is not None, i)) for k, v in holders.items()}
     out = []
     for i, t in texts:
         split = (t or "").split("\n")
-        kept = [x for x in split if not (len(key(x)) >= least_chars and docs[key(x)] >= least_docs and i != keeper[key(x)])]
+        kept = [x for x in split if not (len(key(x)) >= least_chars and len(holders[key(x)]) >= least_docs and i != keeper[key(x)])]
         out.append((i, len(split), len(split) - len(kept), "\n".join(kept)))
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("batches, fanout", [(1, 2), (5, 2), (4, 9)])
-def test_line_dedup_against_brute_force(docs, batches, fanout):
-    rng = random.Random(batches)
+@pytest.mark.parametrize("batches, fanout", [(1, 2), (5, 2), (4, 9), (None, 2)])
+def test_line_dedup_against_brute_force(spark, docs, batches, fanout):
+    """Repeated rows count once, whatever the batches; ids may be text."""
+    rng = random.Random(str(batches))
     pool = [f"  Line {k} É" + "x" * rng.randrange(4) + "\t" for k in range(12)] + ["", "short", "LINE 3 É", "line 3 É\r"]
-    texts = [(n, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 9)))) for n in range(40)] + [(90, None), (91, ""), (92, "\n\n"), (93, pool[0] + "\n" + pool[0]), (93, pool[0] + "\n" + pool[0]), (None, pool[0])]
+    texts = [(n, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 9)))) for n in range(40)] + [(90, None), (91, ""), (92, "\n\n"), (93, pool[0] + "\n" + pool[0]), (93, pool[0] + "\n" + pool[0]), (None, pool[0]), (None, pool[1])]
+    texts += [(94, "repeated line")] * 3 + [(95, "repeated line"), *[(n, "in every text\nin three") for n in (96, 97, 97, 98)], (94, "another text\nin every text")]
     got = line_dedup.dedup_lines(docs(*texts), least_chars=6, least_docs=3, batches=batches, fanout=fanout)
     assert rows(got, "doc_id", "n_lines", "n_dropped", "kept") == brute_lines(texts, 6, 3)
+    named = [(None if i is None else f"d{i:03}", t) for i, t in texts]
+    got = line_dedup.dedup_lines(spark.createDataFrame(named, "doc_id string, text string"), least_chars=6, least_docs=3, batches=batches, fanout=fanout)
+    assert rows(got, "doc_id", "n_lines", "n_dropped", "kept") == brute_lines(named, 6, 3)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
+def test_line_dedup_of_nothing(docs):
     assert not line_dedup.dedup_lines(docs("a").where("false")).count()
 
 
