@@ -8,26 +8,29 @@ occurrences are located by walking to the next sample. Their spans are merged do
 
 A phrase is a window of `window` consecutive words of an item; an item of fewer words, but not none, is one phrase.
 Items without an id or without words are no items; repeated items and ids count once. Null and empty texts have no
-words. Every row gives one row, repeated rows too. The benchmark is sent to the tasks in slices of bounded size;
-where there are several, each searches all documents and their spans are merged by row afterwards.
+words. Every row gives one row, repeated rows too. The benchmark is searched in slices of bounded size, one after the other: a slice is collected, sent,
+searched for in all documents, and released before the next. Items of more than PART_WORDS words go in parts that overlap by window - 1 words, so a long item
+is in several slices and no window is lost. Spans found by several slices are merged by row afterwards; each slice reads all documents once.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import name, pieces, stored, texts, words
+from .common import freed, name, pieces, stored, texts, words
 
-#: Characters of benchmark text in one slice.
-SLICE_CHARS = 2_000_000
+#: Bytes of benchmark words in one slice, and words of an item in one part.
+SLICE_BYTES, PART_WORDS = 2_000_000, 10_000
 #: Bytes of text in a shard, about.
 SHARD_BYTES = 8 << 20
 #: Every so many positions of the text a suffix position is kept.
@@ -151,13 +154,14 @@ class Phrases:
     ids: list[str]
 
     @classmethod
-    def of(cls, rows: list[tuple[str, str]], window: int) -> Phrases:
+    def of(cls, rows: list[tuple[str, bytes]], window: int) -> Phrases:
+        """rows: item id, its words or some of them, with spaces between."""
         vocabulary: dict[bytes, int] = {}
         found: dict[tuple[int, ...], set[int]] = {}
         ids = sorted({i for i, _ in rows})
         number = {i: k for k, i in enumerate(ids)}
         for i, text in rows:
-            own = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(text.encode())]
+            own = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in text.split()]
             for k in range(max(1, len(own) - window + 1) if own else 0):
                 found.setdefault(tuple(own[k : k + window]), set()).add(number[i])
         keys = sorted(found, key=len)
@@ -229,14 +233,24 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> str:
 SPANS = "array<struct<start:long,end:long>>"
 
 
-def _search(docs: DataFrame, rows: list[tuple[str, str]], window: int, with_text: bool) -> DataFrame:
-    own = docs
+_workers: dict[str, Phrases] = {}
+
+
+def _phrases(token: str, rows: list[tuple[str, bytes]], window: int) -> Phrases:
+    """One for each worker and slice, kept from task to task."""
+    if token not in _workers:
+        _workers.clear()
+        _workers[token] = Phrases.of(rows, window)
+    return _workers[token]
+
+
+def _search(docs: DataFrame, rows: Broadcast, window: int, with_text: bool) -> DataFrame:
+    own, token = docs, uuid.uuid4().hex
     schema = f"doc_id {own.schema['doc_id'].dataType.simpleString()}, n_words long, spans {SPANS}, item_ids array<string>" + ", text string" * with_text
     arrow = to_arrow_schema(own.sparkSession.createDataFrame([], schema).schema)
-    sent = own.sparkSession.sparkContext.broadcast(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = Phrases.of(sent.value, window)
+        phrases = _phrases(token, rows.value, window)
         for batch in (piece for whole in batches for piece in pieces(whole, 1, SHARD_BYTES)):
             data = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
             split = [words(x) for x in data]
@@ -249,36 +263,51 @@ def _search(docs: DataFrame, rows: list[tuple[str, str]], window: int, with_text
     return own.mapInArrow(run, schema)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", slice_chars: int = SLICE_CHARS) -> DataFrame:
+def item_parts(benchmark: DataFrame, window: int, item_col: str, item_text_col: str) -> DataFrame:
+    """item, part, words (with spaces between), bytes: whole items, and long ones in overlapping parts."""
+    own = benchmark.select(name(item_col).cast("string").alias("item"), name(item_text_col).cast("string").alias("text")).where("item is not null and text is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+                w = words(text)
+                parts = [b" ".join(w[k : k + PART_WORDS + window - 1]) for k in range(0, max(len(w) - window + 1, min(len(w), 1)), PART_WORDS)]
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(parts), pa.string()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary()), pa.array(map(len, parts), pa.int64())], ["item", "part", "words", "bytes"])
+
+    return own.mapInArrow(run, "item string, part int, words binary, bytes long")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """doc_id, n_words, spans (words inside occurrences, merged), item_ids (sorted), n_hit, and the cut text if asked for."""
-    bench = benchmark.select(name(item_col).cast("string").alias("item"), name(item_text_col).cast("string").alias("text")).where("item is not null and text is not null")
-    slices = int((bench.agg(F.sum(F.length("text"))).first()[0] or 0) // slice_chars) + 1
-    own = texts(docs, id_col, text_col)
-    parts = []
-    if slices > 1:
-        own = stored(own.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
-    for k in range(slices):
-        rows = [(r.item, r.text) for r in bench.where(F.pmod(F.xxhash64("item"), F.lit(slices)) == k).collect()]
+    spark = docs.sparkSession
+    own, sent = texts(docs, id_col, text_col), spark.sparkContext.broadcast
+    hits = F.expr("aggregate(spans, 0L, (n, x) -> n + x.end - x.start)").alias("n_hit")
+    with freed(spark, kept=("decontaminated",)):
+        parts = stored(item_parts(benchmark, window, item_col, item_text_col), "benchmark")
+        slices = int((parts.agg(F.sum("bytes")).first()[0] or 0) // slice_bytes) + 1
         if slices == 1:
-            parts.append(_search(own, rows, window, with_text))
-        else:
-            parts.append(_search(own.select(F.struct("row", "doc_id").alias("doc_id"), "text"), rows, window, False))
-    if slices == 1:
-        out = parts[0]
-    else:
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.unionByName(p)
-        every = every.groupBy("doc_id").agg(F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.flatten(F.collect_list("item_ids"))).alias("item_ids"))
+            out = _search(own, sent([(r["item"], bytes(r["words"])) for r in parts.collect()]), window, with_text)  # no more than a slice
+            return out.select("*", hits)
+        rows = stored(own.withColumn("row", F.monotonically_increasing_id()), "decontaminate").select(F.struct("row", "doc_id").alias("doc_id"), "text")
+        whole, found = None, []
+        for k in range(slices):
+            some = sent([(r["item"], bytes(r["words"])) for r in parts.where(F.pmod(F.xxhash64("item", "part"), F.lit(slices)) == k).collect()])
+            one = _search(rows, some, window, False)
+            if whole is None:  # the first slice counts the words of every row; the others keep rows that they found something in
+                whole = stored(one, "slice")
+            else:
+                found.append(stored(one.where(F.size("spans") > 0), "slice"))
+            some.destroy()
+        every = whole
+        for one in found:
+            every = every.unionByName(one)
+        every = every.groupBy("doc_id").agg(F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
         merged = F.expr(f"""aggregate(spans, cast(array() as {SPANS}), (a, x) -> case
             when size(a) = 0 or element_at(a, -1).end < x.start then concat(a, array(x))
             else concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end)))) end)""")
         every = every.select("doc_id", "n_words", merged.alias("spans"), "item_ids")
-        out = every.select(F.col("doc_id.doc_id").alias("doc_id"), "n_words", "spans", "item_ids")
-        if with_text:
-            joined = every.join(own.select(F.struct("row", "doc_id").alias("doc_id"), "text"), "doc_id")
-            out = _cut(joined)
-    return out.withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, x) -> n + x.end - x.start)"))
+        out = _cut(every.join(rows, "doc_id")) if with_text else every.select(F.col("doc_id.doc_id").alias("doc_id"), "n_words", "spans", "item_ids")
+        return stored(out, "decontaminated").select("*", hits)
 
 
 def _cut(joined: DataFrame) -> DataFrame:

@@ -78,14 +78,16 @@ def brute(items, text, window):
     return len(own), len(hit), sorted(ids)
 
 
-@pytest.mark.parametrize("slice_chars", [dc.SLICE_CHARS, 40])
-def test_decontamination_against_brute_force(spark, docs, slice_chars):
+@pytest.mark.parametrize("slice_bytes, part_words", [(dc.SLICE_BYTES, dc.PART_WORDS), (40, 6)])
+def test_decontamination_against_brute_force(spark, docs, monkeypatch, slice_bytes, part_words):
+    """In one slice; and in many, with items longer than a part and than a slice."""
+    monkeypatch.setattr(dc, "PART_WORDS", part_words)
     rng = random.Random(5)
     say = lambda most: " ".join(rng.choice(["a", "B", "c,", "dé", "x1\n"]) for _ in range(rng.randrange(most)))
-    items = [(str(k), say(9)) for k in range(12)] + [("3", None), ("twice", "a b c"), ("twice", "a b c")]
-    own = [say(60) for _ in range(25)] + [None, "", "zz " * 3000 + items[2][1]]
+    items = [(str(k), say(9)) for k in range(12)] + [("3", None), ("twice", "a b c"), ("twice", "a b c"), ("long", " ".join(f"l{k}" for k in range(50)))]
+    own = [say(60) for _ in range(25)] + [None, "", "zz " * 3000 + items[2][1], "x " + items[-1][1] + " y", *(" ".join(f"l{k}" for k in range(a, a + 5)) for a in (0, 3, 5, 9, 45))]
     bench = spark.createDataFrame([*items, (None, "a")], "item_id string, text string").selectExpr("*", "1 as doc_id")
-    got = dc.decontaminate(docs(*own), bench, window=4, with_text=True, slice_chars=slice_chars)
+    got = dc.decontaminate(docs(*own), bench, window=4, with_text=True, slice_bytes=slice_bytes)
     for r in got.collect():
         assert (r.n_words, r.n_hit, r.item_ids) == brute(items, own[r.doc_id], 4)
         assert r.n_hit or r.text == (own[r.doc_id] or "")
