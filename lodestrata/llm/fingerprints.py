@@ -28,8 +28,8 @@ PIECE, SHORT = 160, 480
 CELLS = 8
 ROUNDS = 12
 FANOUT, LEVELS = 4, 12
-#: Documents in a range bucket, about, up to a number of buckets; beyond it buckets grow.
-BUCKET, MOST_BUCKETS = 4_000, 16_384
+#: Documents in a range bucket, about, up to a number of buckets; beyond it buckets grow. Few documents have smaller buckets, of LEAST_BUCKET on, for all cores to have some.
+BUCKET, LEAST_BUCKET, MOST_BUCKETS = 4_000, 64, 16_384
 #: Sampled documents for each bucket.
 SAMPLED = 20
 
@@ -43,30 +43,27 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.concat(lines, short))
 
 
-def bits(key: str, level: int | str, at: str, mask: int) -> str:
-    """Some bits of a digest. A level has eleven of its own: three times three for cells, two for parts; after five levels digests are hashed anew."""
-    if isinstance(level, int):
-        own, level = key if level < 5 else f"xxhash64({key}, {level // 5})", level % 5
-    else:
-        own, level = f"if({level} < 5, {key}, xxhash64({key}, {level} div 5))", f"{level} % 5"
-    return f"(shiftright({own}, {level} * 11 + {at}) & {mask})"
+def own_bits(key: str, level: str) -> str:
+    """A digest's bits from those of a level on. A level has eleven of its own: three times three for cells, two for parts; after five levels digests are hashed anew."""
+    return key if level == "0" else f"shiftright(if({level} < 5, {key}, xxhash64({key}, {level} div 5)), {level} % 5 * 11)"
 
 
-def sketch(keys: str, level: int | str = 0) -> str:
+def sketch(keys: str, level: str = "0") -> str:
     """Cells: n (count), k (xor of digests), c (xor of their checks); a digest is in the cell if its bits from s on are v."""
     cells = ", ".join(f"named_struct('s', {3 * j}, 'v', {v}L)" for j in range(3) for v in range(CELLS))
-    return f"""transform(array({cells}), p -> aggregate({keys}, named_struct('n', 0, 'k', 0L, 'c', 0L, 's', p.s, 'v', p.v),
-        (a, k) -> if({bits('k', level, 'a.s', CELLS - 1)} = a.v, named_struct('n', a.n + 1, 'k', a.k ^ k, 'c', a.c ^ xxhash64(k), 's', a.s, 'v', a.v), a)))"""
+    told = f"transform({keys}, k -> named_struct('k', k, 'b', {own_bits('k', level)}, 'c', xxhash64(k)))"
+    return f"""transform(array({told}), r -> transform(array({cells}), p -> aggregate(r, named_struct('n', 0, 'k', 0L, 'c', 0L, 's', p.s, 'v', p.v),
+        (a, k) -> if(shiftright(k.b, p.s) & {CELLS - 1} = p.v, named_struct('n', a.n + 1, 'k', a.k ^ k.k, 'c', a.c ^ k.c, 's', p.s, 'v', p.v), a))))[0]"""
 
 
 def minus(a: str, b: str) -> str:
     return f"zip_with({a}, {b}, (x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k, 'c', x.c ^ y.c, 's', x.s, 'v', x.v))"
 
 
-def peeled(cells: str, level: int | str = 0) -> str:
+def peeled(cells: str, level: str = "0") -> str:
     """whole (all was recovered), plus and minus (digests recovered that the first or the second has alone)."""
     pure = "array_distinct(transform(filter(s.cells, x -> abs(x.n) = 1 and x.c = xxhash64(x.k)), x -> named_struct('k', x.k, 'n', x.n)))"
-    left = f"""aggregate(u, x, (a, q) -> if({bits('q.k', level, 'a.s', CELLS - 1)} = a.v,
+    left = f"""aggregate(u, x, (a, q) -> if(shiftright({own_bits('q.k', level)}, a.s) & {CELLS - 1} = a.v,
         named_struct('n', a.n - q.n, 'k', a.k ^ q.k, 'c', a.c ^ xxhash64(q.k), 's', a.s, 'v', a.v), a))"""
     # transform(array(x), u -> f(u))[0] names a value that is used more than once
     step = f"""transform(array({pure}), u -> if(size(u) = 0, named_struct('cells', s.cells, 'net', s.net, 'all', s.all, 'done', true),
@@ -78,7 +75,7 @@ def peeled(cells: str, level: int | str = 0) -> str:
 
 def alone(side: str, a: str, b: str) -> str:
     """plus and minus, how many digests a and b have alone, from the peeled difference `side` of their sketches: where it got stuck, by larger sketches of parts."""
-    dealt = f"filter({{0}}, f -> {bits('f', 'l - 1', '9', FANOUT - 1)} = g)"
+    dealt = f"filter({{0}}, f -> shiftright({own_bits('f', '(l - 1)')}, 9) & {FANOUT - 1} = g)"
     part = f"transform(array(named_struct('a', {dealt.format('w.a')}, 'b', {dealt.format('w.b')})), h -> named_struct('a', h.a, 'b', h.b, 'd', {peeled(minus(sketch('h.a', 'l'), sketch('h.b', 'l')), 'l')}))[0]"
     parts = f"flatten(transform(t.left, w -> transform(sequence(0, {FANOUT - 1}), g -> {part})))"
     step = f"""transform(array({parts}), o -> named_struct('left', transform(filter(o, i -> not i.d.whole), i -> named_struct('a', i.a, 'b', i.b)),
@@ -98,7 +95,8 @@ def _edges(keyed: DataFrame, n: int) -> tuple[str, str, int]:
 
     The sample has about SAMPLED documents for each bucket, so both are bounded. Results don't depend on it.
     """
-    buckets = max(1, min(n // BUCKET, MOST_BUCKETS))
+    cores = keyed.sparkSession.sparkContext.defaultParallelism
+    buckets = max(1, min(max(n // BUCKET, min(n // LEAST_BUCKET, 4 * cores)), MOST_BUCKETS))
     chance = min(1.0, SAMPLED * buckets / max(n, 1))
     width = max(1, int(n * chance / buckets))
     key = F.struct("known", "doc_id", "mark").alias("k")
@@ -133,7 +131,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     place = place.otherwise(F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("ghost"))))
     dealt = own.select("doc_id", "text", "mark", "times", F.explode(place).alias("place")).select("doc_id", "text", "mark", "times", "place.*")
     turn = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").desc_nulls_last(), F.col("mark").desc())
-    every = dealt.repartition(F.col("bucket")).withColumn("keys", digests(F.col("text")))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(buckets, 4 * docs.sparkSession.sparkContext.defaultParallelism))
+    every = dealt.repartition(tasks, F.col("bucket")).withColumn("keys", digests(F.col("text")))
     every = every.withColumns({"next_text": F.lead("text").over(turn), "next_keys": F.lead("keys").over(turn)}).where("ghost = 0")
     if hot == "[]":
         return every.select("doc_id", "text", "keys", "next_text", "next_keys", "times")

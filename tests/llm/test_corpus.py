@@ -250,7 +250,7 @@ def test_fingerprint_query(spark, documents, monkeypatch, bucket):
 
 
 def test_fingerprint_edges(spark, docs, monkeypatch):
-    monkeypatch.setattr(fingerprints, "BUCKET", 2)
+    monkeypatch.setattr(fingerprints, "BUCKET", 2), monkeypatch.setattr(fingerprints, "LEAST_BUCKET", 1)
     long = "\n".join(f"line {k} é日" for k in range(3000))
     texts = [(1, None), (3, ""), (5, "one\ntwo\nthree"), (8, "x" * 1000), (13, long), (14, long + "\nmore"), (20, "é"), (21, "abc"), (22, "日本語テキスト" * 9), (None, "last")]
     got = {r.doc_id: r for r in fingerprints.fingerprint(docs(*texts)).collect()}
