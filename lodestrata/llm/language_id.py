@@ -4,8 +4,9 @@ A word's features are its affixes (first and last one to three characters), its
 ends), its shape and its place in a lexicon (the commonest words of each language in the training sample), hashed
 into one table of weights. Transitions between neighbouring words are learned with them. Training chains
 are pieces of labelled documents, some spliced from two languages, so the model has seen code switching;
-gradients are exact, from forward-backward. A text is labelled word by word by forward-backward in chains of
-`CHAIN` words; the language is the one with the largest sum of word probabilities, the score its mean.
+gradients are exact, from forward-backward. A text is labelled word by word by forward-backward over pieces of
+`CHAIN` words, each run with the `CONTEXT` words before and after it, so that what neighbours say crosses the cuts; the language is the one with the largest sum of
+word probabilities, the score its mean.
 
 The training sample is bounded: about `sample_docs` labelled documents of each language, chosen by hash of
 doc_id over all documents, of which at most `sample_words` words each, spread over the whole text, are used. All languages
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import map_texts, name, ship
 
 UNKNOWN = "und"
-CHAIN = 64
+CHAIN, CONTEXT = 128, 16
 #: Rows of the table of weights, a power of two; the last row is for padding and stays 0.
 TABLE = 1 << 17
 FEATURES = 32
@@ -199,26 +200,29 @@ class Labeler:
     def label(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Each text's mean label probabilities; and the words' own, one text after the other."""
         model, sizes = self.model, np.array([len(t) for t in texts], np.int64)
-        rows = self.look_up(texts)
-        n = len(model.labels)
+        rows, n = self.look_up(texts), len(self.model.labels)
+        own = np.zeros((len(rows), n), np.float32)
         per = -(-sizes // CHAIN)
-        first = np.cumsum(per) - per
-        where = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes - first * CHAIN, sizes)  # slot of each word; a text starts a chain
-        slots = np.zeros((int(per.sum()) * CHAIN, n), np.float32)
-        slots[where] = self.scores[rows]
-        probabilities = np.empty((len(slots) // CHAIN, CHAIN, n), np.float32)
-        step = max(1, min(4096, CELLS // (CHAIN * n)))
-        for k in range(0, len(probabilities), step):  # padding after a text's end has score 0: it only follows
-            part = slots.reshape(-1, CHAIN, n)[k : k + step].transpose(1, 0, 2)
-            probabilities[k : k + step] = marginals(np.ascontiguousarray(part), model.moves, model.starts).transpose(1, 0, 2)
-        own = probabilities.reshape(-1, n)[where]
-        text = np.repeat(np.arange(len(texts)), sizes)
-        sums = np.stack([np.bincount(text, own[:, k], len(texts)) for k in range(n)], 1)
+        text = np.repeat(np.arange(len(texts)), per)
+        first = (np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)) * CHAIN
+        last = np.minimum(first + CHAIN, sizes[text])
+        begin, end = np.maximum(first - CONTEXT, 0), np.minimum(last + CONTEXT, sizes[text])  # with the context
+        at, order = (np.cumsum(sizes) - sizes)[text], np.argsort(end - begin, kind="stable")
+        step = max(1, min(4096, CELLS // ((CHAIN + 2 * CONTEXT) * n)))
+        for k in range(0, len(order), step):  # chains of about one length
+            some = order[k : k + step]
+            place = begin[some] + np.arange((end - begin)[some].max())[:, None]
+            live = place < end[some]
+            got = marginals(self.scores[rows[np.where(live, at[some] + place, 0)]], model.moves, model.starts, None if live.all() else live)
+            kept = (place >= first[some]) & (place < last[some])
+            own[(at[some] + place)[kept]] = got[kept]
+        whose = np.repeat(np.arange(len(texts)), sizes)
+        sums = np.stack([np.bincount(whose, own[:, k], len(texts)) for k in range(n)], 1)
         return sums / np.maximum(sizes, 1)[:, None], own
 
 
-def marginals(scores: np.ndarray, moves: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """forward_backward() without the moves."""
+def marginals(scores: np.ndarray, moves: np.ndarray, starts: np.ndarray, live: np.ndarray | None = None) -> np.ndarray:
+    """forward_backward() without the moves. live: which places are words (words x chains), where some chains end before others."""
     emit, step = np.exp(scores - scores.max(2, keepdims=True)), np.exp(moves)
     a = emit[0] * np.exp(starts)
     ahead = np.empty_like(emit)
@@ -230,6 +234,8 @@ def marginals(scores: np.ndarray, moves: np.ndarray, starts: np.ndarray) -> np.n
     for t in range(len(emit) - 1, 0, -1):
         b = (b * emit[t]) @ step.T
         b /= b.sum(1, keepdims=True)
+        if live is not None:
+            b = np.where(live[t][:, None], b, np.float32(1))
         ahead[t - 1] *= b
     return ahead / ahead.sum(2, keepdims=True)
 

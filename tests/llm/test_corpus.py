@@ -304,6 +304,38 @@ def test_language_query(spark, documents):
     assert got.where("score < 0 or score > 1").count() == 0
 
 
+def test_language_query_against_whole_chains(spark, documents):
+    """Every document of the table, as one chain of all its words: the same labels, and scores that the cuts don't move."""
+    model = language_id.fit(documents)
+    got = {r.doc_id: r for r in language_id.identify(documents, model).collect()}
+    worst = 0.0
+    for r in documents.collect():
+        own = language_id.words_of(r.text or "")
+        if not own:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0)
+            continue
+        scores = model.weights[language_id.padded([language_id.features(w, model.lexicon) for w in own])].sum(1)
+        mean = language_id.forward_backward(scores[:, None].astype(float), model.moves.astype(float), model.starts.astype(float))[0][:, 0].mean(0)
+        worst = max(worst, abs(mean.max() - got[r.doc_id].score))
+        assert model.labels[int(mean.argmax())] == got[r.doc_id].lang_pred
+    print("largest difference of a score", worst)
+    assert worst < 1e-3
+
+
+def test_chains_of_unequal_lengths(docs, documents):
+    """Words' probabilities of texts of any lengths are those of each text alone."""
+    model = language_id.fit(documents)
+    long = [language_id.words_of(r.text) for r in documents.where("n_chars > 4000").orderBy("doc_id").limit(6).collect()]
+    texts = [w[:n] for w, n in zip(long, (1, 2, 127, 128, 129, 1000))] + [[]]
+    _, own = language_id.Labeler(model).label(texts)
+    at = 0
+    for t in texts[:-1]:
+        scores = model.weights[language_id.padded([language_id.features(w, model.lexicon) for w in t])].sum(1)
+        exact = language_id.forward_backward(scores[:, None].astype(float), model.moves.astype(float), model.starts.astype(float))[0][:, 0]
+        assert np.abs(exact - own[at : at + len(t)]).max() < 1e-3
+        at += len(t)
+
+
 def test_code_switching_and_edges(docs, documents):
     model = language_id.fit(documents)
     some = {r.lang: " ".join(r.text.split()[:60]) for r in documents.where("lang in ('fr', 'de') and n_chars > 900 and doc_id % 5 = 1").collect()}
