@@ -3,7 +3,7 @@
 1. Signatures. A document's shingles (five words; a document of fewer words is one shingle, one of none has none)
    are hashed to 64 bits. Documents of equal shingle sets are one set: exact copies are never paired.
 2. Forest. Each of TREES trees has DEPTH minima of its own, a set's path. Sorted by path, the sets below a node of a tree are those that share a
-   prefix. Pairs meet first at the longest prefixes: all nodes of depth DEPTH are searched, and then shorter ones, one step at a time, each for the pairs that
+   prefix. Sets alone below a node of the depth at which shortening must end meet nobody in that tree and go first. Pairs meet first at the longest prefixes: all nodes of depth DEPTH are searched, and then shorter ones, one step at a time, each for the pairs that
    no longer prefix of any tree has brought together. How likely are pairs that they meet this deep? The likenesses of those found so far tell, by the minima of the other
    trees: shortening ends when even the weakest class of them had to be found with the target probability, or pairs at the threshold had to. With none but
    close copies it ends early.
@@ -21,12 +21,12 @@ they hold a thousandth of all rows get their class from a broadcast of at most a
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -37,7 +37,7 @@ RECALL = 0.999
 #: How far a signature's estimate may fall below the threshold (0.8: five standard deviations of 96 minima).
 MARGIN = 0.2
 #: A block has at most about so many sets, and bytes of shingles; a longer set is a block by itself.
-BLOCK, BLOCK_BYTES = 2048, 8 << 20
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
 #: Pairs of sets that are looked at together.
 PAIRS = 1 << 18
 #: Classes of likeness from the threshold to 1.
@@ -197,7 +197,7 @@ def linked(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: floa
     return both * den >= num * (sizes[i] + sizes[j] - both)
 
 
-def stars(n: int, i: np.ndarray, j: np.ndarray, ids: list[str]) -> list[tuple[str, str]]:
+def stars(n: int, i: np.ndarray, j: np.ndarray, ids: list[bytes]) -> list[tuple[bytes, bytes]]:
     """Components of links among n rows, each as (smallest id, other id) for all its others."""
     label = np.argsort(np.argsort(ids))  # by id, so the smallest label is the smallest id
     order = np.argsort(label)
@@ -261,12 +261,12 @@ def _signed(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame
                 for v in out.values():
                     v.append(None)
                 continue
-            out["set_id"].append(hashlib.blake2b(own.tobytes(), digest_size=16).hexdigest())
+            out["set_id"].append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
             out["size"].append(len(own))
             out["paths"].append(signer.sign(own).tobytes())
         return out
 
-    return map_texts(docs, each, "set_id string, size long, paths binary", id_col, text_col)
+    return map_texts(docs, each, "set_id binary, size long, paths binary", id_col, text_col)
 
 
 UNIT = ["depth", "key", "b1", "b2"]
@@ -282,15 +282,25 @@ def _rows(tables: list[pa.Table]) -> dict[str, np.ndarray]:
     return out | {"table": whole}
 
 
-def _met(sets: DataFrame, depth: int, threshold: float) -> DataFrame:
+def _key(depth: int) -> Column:
+    """A node's number, from the tree and the first steps of the path."""
+    return F.xxhash64("tree", F.substring("paths", F.lit(1) + 2 * DEPTH * F.col("tree"), F.lit(2 * depth)))
+
+
+def _subtrees(sets: DataFrame, depth: int) -> DataFrame:
+    """set_id, tree, size, paths of the sets that aren't alone below their node of this depth. Nobody else meets anyone at a longer prefix of that tree."""
+    spots = sets.select("set_id", "paths", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("set_id", "tree", _key(depth).alias("key"))
+    nodes = spots.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    return spots.join(nodes, "key", "left_semi").select("set_id", "tree").join(sets.select("set_id", "size", "paths"), "set_id")
+
+
+def _met(spots: DataFrame, depth: int, threshold: float) -> DataFrame:
     """Nodes of this depth: the sets that have candidates in each unit, and how many pairs are in each class of likeness (bin, n)."""
-    steps = [F.xxhash64(F.lit(t), F.substring("paths", 1 + 2 * DEPTH * t, 2 * depth)) for t in range(TREES)]
-    spots = sets.select("set_id", "size", F.posexplode(F.array(*steps)).alias("tree", "key"))
+    spots = spots.withColumns({"depth": F.lit(depth), "key": _key(depth)})
     nodes = spots.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("size") * 8).alias("bytes")).where("n > 1")
-    spots = spots.join(nodes, "key").join(sets.select("set_id", "paths"), "set_id").withColumn("depth", F.lit(depth))
-    units = in_blocks(spots, ["depth", "key"], "set_id").select(*UNIT, "block", "tree", "set_id", "size", "paths")
-    schema = "depth int, key long, b1 int, b2 int, block int, tree int, set_id string, bin int, n long"
-    arrow = to_arrow_schema(sets.sparkSession.createDataFrame([], schema).schema)
+    units = in_blocks(spots.join(nodes, "key"), ["depth", "key"], "set_id").select(*UNIT, "block", "tree", "set_id", "size", "paths")
+    schema = "depth int, key long, b1 int, b2 int, block int, tree int, set_id binary, bin int, n long"
+    arrow = to_arrow_schema(spots.sparkSession.createDataFrame([], schema).schema)
     unit_columns = arrow.names[:7]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,17 +338,17 @@ def _bodies(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col
 
     def hashed(data: list[bytes]) -> dict:
         made = [shingles(words(x), size) for x in data]
-        return {"set_id": [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in made], "hashes": [s.tobytes() for s in made]}
+        return {"set_id": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in made], "hashes": [s.tobytes() for s in made]}
 
     own = texts(docs, id_col, text_col)
     bearing = own.join(wanted.select(F.col("first_id").alias("of")).distinct(), own["doc_id"].eqNullSafe(F.col("of")), "left_semi")
     # rows of one doc_id may have several texts: each set is taken once, by its id
-    return map_texts(bearing, hashed, "set_id string, hashes binary").select("set_id", "hashes").join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"])
+    return map_texts(bearing, hashed, "set_id binary, hashes binary").select("set_id", "hashes").join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"])
 
 
 def _links(units: DataFrame, threshold: float) -> DataFrame:
     """Units with the shingles of their sets -> edges (a, b) that join linked sets, and links of a set (b, links)."""
-    schema = "a string, b string, links long"
+    schema = "a binary, b binary, links long"
     arrow = to_arrow_schema(units.sparkSession.createDataFrame([], schema).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,9 +390,11 @@ def _join_near(docs: DataFrame, threshold: float, size: int, recall: float, id_c
     signed = stored(_signed(docs, size, id_col, text_col), "signed")
     sets = stored(signed.where("set_id is not null").groupBy("set_id").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"), F.any_value("size").alias("size"), F.any_value("paths").alias("paths")), "sets")
 
+    shortest = next(d for d in range(DEPTH, 0, -1) if deep_enough({}, d, threshold, recall))
+    spots = stored(_subtrees(sets, shortest), "subtrees")
     met, found = None, dict.fromkeys(range(BINS), 0)
-    for depth in range(DEPTH, 0, -1):
-        level = stored(_met(sets, depth, threshold), "met")
+    for depth in range(DEPTH, shortest - 1, -1):
+        level = stored(_met(spots, depth, threshold), "met")
         met = level if met is None else met.unionByName(level)
         for r in level.where("bin is not null").groupBy("bin").agg(F.sum("n").alias("n")).collect():  # a row for each class of likeness
             found[r["bin"]] += r["n"]

@@ -84,7 +84,54 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scans, op2_token_counts, op3_line_dedup, op4_decontamination, op5_mixing, op6_ngram_jaccard_join, op7_language_id, op8_pii, op9_fingerprints, op10_token_files)}
+#: A text's words in SQL, and documents as rows with theirs.
+SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL_DOCS = f"d AS (SELECT row_number() OVER () AS r, doc_id, {SQL_WORDS} AS w FROM documents)"
+
+
+def _sql_templates() -> str:
+    """Templates as rows: label, their words (each once), how many must be met, and whether they must stand consecutively."""
+    made = licenses.templates_of(licenses.PHRASES, licenses.TEMPLATES, licenses.THRESHOLD)
+    own = [(t.label, [w.decode() for w in dict.fromkeys(t.words)], t.least, t.phrase) for t in made]
+    return "t(label, ws, least_words, phrase) AS (VALUES " + ", ".join(f"('{label}', {ws}, {least}, {phrase})" for label, ws, least, phrase in own) + ")"
+
+
 ORACLE_SQL: dict[str, str] = {
+    # windows of 256 words, a new one every 128, each with each template
+    "op1_license_scans": f"""
+        WITH {SQL_DOCS}, {_sql_templates()},
+        b AS (SELECT r, w, unnest(range(0, greatest(1, len(w) - 128), 128)) AS a FROM d WHERE len(w) > 0),
+        m AS (SELECT r, a, label, phrase, ws, w, len(list_intersect(w[a + 1 : a + 256], ws)) AS held FROM b, t WHERE len(list_intersect(w[a + 1 : a + 256], ws)) >= least_words),
+        f AS (SELECT *, CASE WHEN phrase THEN list_filter(range(a, least(a + 256, len(w)) - len(ws) + 1), lambda k: w[k + 1 : k + len(ws)] = ws) ELSE []::BIGINT[] END AS places FROM m),
+        h AS (SELECT r, a, label, held / len(ws) AS share, places FROM f WHERE NOT phrase OR len(places) > 0),
+        p AS (SELECT r, count(*) AS n_base, min(x) AS first_word, max(x) AS last_word, array_to_string(list_sort(list_distinct(list(label))), ',') AS base_labels FROM (SELECT DISTINCT r, label, unnest(places) AS x FROM h) GROUP BY r),
+        q AS (SELECT r, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(share) AS score, count(DISTINCT a) AS n_blocks FROM h GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score, coalesce(n_blocks, 0) AS n_blocks
+        FROM d LEFT JOIN p USING (r) LEFT JOIN q USING (r)""",
+    # windows of items and of documents, joined as strings
+    "op4_decontamination": f"""
+        WITH {SQL_DOCS},
+        i AS (SELECT item_id::VARCHAR AS item, {SQL_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+        p AS (SELECT DISTINCT item, len(x) AS n, array_to_string(x, ' ') AS phrase FROM (SELECT item, unnest(list_transform(range(greatest(1, len(w) - 12)), lambda k: w[k + 1 : k + 13])) AS x FROM i WHERE len(w) > 0)),
+        o AS (SELECT r, n, a, array_to_string(w[a + 1 : a + n], ' ') AS phrase FROM (SELECT r, w, n, unnest(range(len(w) - n + 1)) AS a FROM d, (SELECT DISTINCT n FROM p) WHERE len(w) >= n)),
+        h AS (SELECT r, item, a, n FROM o JOIN p USING (n, phrase)),
+        c AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(range(a, a + n)) AS x FROM (SELECT DISTINCT r, a, n FROM h)) GROUP BY r),
+        g AS (SELECT r, list_sort(list_distinct(list(item))) AS items FROM h GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+        FROM d LEFT JOIN c USING (r) LEFT JOIN g USING (r)""",
+    # every pair of sets that share a shingle, and the transitive closure of links
+    "op6_ngram_jaccard_join": f"""
+        WITH RECURSIVE {SQL_DOCS},
+        s AS (SELECT r, doc_id, CASE WHEN len(w) > 0 THEN list_sort(list_distinct(list_transform(range(greatest(1, len(w) - 4)), lambda k: array_to_string(w[k + 1 : k + 5], ' ')))) END AS own FROM d),
+        k AS (SELECT md5(array_to_string(own, '|')) AS id, any_value(own) AS own, count(*) AS copies, min(doc_id) AS first_id FROM s WHERE own IS NOT NULL GROUP BY 1),
+        x AS (SELECT id, len(own) AS n, unnest(list_transform(own, lambda y: hash(y))) AS shingle FROM k),
+        e AS (SELECT a.id AS a, b.id AS b FROM x a JOIN x b ON a.shingle = b.shingle AND a.id <> b.id GROUP BY a.id, b.id HAVING count(*) * 10 >= 8 * (any_value(a.n) + any_value(b.n) - count(*))),
+        c AS (SELECT id AS node, id AS root FROM k UNION SELECT e.b, c.root FROM c JOIN e ON c.node = e.a),
+        m AS (SELECT node, min(root) AS root FROM c GROUP BY node),
+        z AS (SELECT root, min(first_id) AS class_id, sum(copies)::BIGINT AS class_size FROM m JOIN k ON node = id GROUP BY root),
+        l AS (SELECT a AS id, sum(copies)::BIGINT AS links FROM e JOIN k ON b = id GROUP BY a)
+        SELECT doc_id, CASE WHEN own IS NULL THEN doc_id ELSE class_id END AS class_id, coalesce(copies - 1 + coalesce(links, 0), 0)::BIGINT AS n_links, coalesce(class_size, 1) AS class_size
+        FROM s LEFT JOIN k ON md5(array_to_string(s.own, '|')) = k.id LEFT JOIN m ON m.node = k.id LEFT JOIN z ON z.root = m.root LEFT JOIN l ON l.id = k.id""".replace("SELECT doc_id, CASE WHEN own", "SELECT doc_id, CASE WHEN s.own"),
     "op3_line_dedup": r"""
         WITH l AS (
             SELECT doc_id, i, line, lower_key AS k FROM (

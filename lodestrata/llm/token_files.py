@@ -1,8 +1,8 @@
 """Token ids in files of canonical length-limited Huffman codes, and back.
 
 1. Tokenize: documents, range-partitioned and sorted by id, become segments of plain ids in the shared folder.
-2. Code: ids are counted over all segments; package-merge gives the best code lengths of at most 16 bits, and lengths
-   alone define the canonical code.
+2. Code: ids are counted over all segments; package-merge gives the best code lengths of at most 16 bits (more only where over 32,768 ids occur), and
+   lengths alone define the canonical code.
 3. Write: a segment holds its documents' ids and lengths, the code bits of all their tokens, and the bit offset of
    each block of 512 tokens. The plain segments go.
 4. Read: blocks decode by table without each other; numpy steps through all blocks of a segment at once.
@@ -11,7 +11,8 @@ The format: a folder of Parquet files. segments/: part, seq (ascending document
 doc_ids, doc_tokens, block_bits (checkpoints), payload (big-endian code bits, 8 bytes of zeros after them).
 codebook/: id, bits (code length). Spark's writers commit them, so a lost executor leaves no half a file.
 
-Null and empty texts hold the end id alone. Repeated doc_ids follow each other, by text. A null doc_id comes first.
+Null and empty texts hold the end id alone. doc_id may have any type that has an order. Repeated doc_ids follow each other, by a hash of the text, and may be in several
+parts; a null doc_id comes first.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from tokenizers import Tokenizer
 from .common import drop_scratch, pieces, scratch, texts
 from .token_counts import byte_letters
 
-MOST_BITS = 16
+MOST_BITS, LONGEST = 16, 25  # a decoder's window has 25 bits for certain
 BLOCK = 512
 #: Bytes of text in a segment, about (a document is never parted).
 SEGMENT_BYTES = 1 << 20
@@ -133,14 +134,14 @@ def _chunks(tokenizer_json: str, end_id: int | None) -> Chunks:
     return _workers[key]
 
 
-PLAIN = "part int, seq int, ids_before long, n_ids long, doc_ids array<long>, doc_tokens array<long>, width int, raw binary"
+PLAIN = "part int, seq int, ids_before long, n_ids long, doc_ids array<{}>, doc_tokens array<long>, width int, raw binary"
 
 
 def tokenize(docs: DataFrame, tokenizer_json: str, end_id: int | None) -> DataFrame:
     """Segments of plain ids, in ascending doc_id within and across parts."""
-    spark = docs.sparkSession
+    spark, schema = docs.sparkSession, PLAIN.format(docs.schema["doc_id"].dataType.simpleString())
     sent = spark.sparkContext.broadcast(tokenizer_json)
-    arrow = to_arrow_schema(spark.createDataFrame([], PLAIN).schema)
+    arrow = to_arrow_schema(spark.createDataFrame([], schema).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks, part = _chunks(sent.value, end_id), TaskContext.get().partitionId()
@@ -152,8 +153,10 @@ def tokenize(docs: DataFrame, tokenizer_json: str, end_id: int | None) -> DataFr
             seq, before = seq + 1, before + len(ids)
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, arrow)], schema=arrow)
 
-    ordered = docs.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(run, PLAIN)
+    # rows of one doc_id are parted by their texts, and equal rows by where they stand
+    order = ["doc_id", "mark", "place"]
+    ordered = docs.withColumns({"mark": F.xxhash64("text"), "place": F.monotonically_increasing_id()}).repartitionByRange(*order).sortWithinPartitions(*order)
+    return ordered.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def _plain(raw: bytes, width: int) -> np.ndarray:
@@ -234,7 +237,8 @@ def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes
 
 
 def unpack(payload: bytes, block_bits: np.ndarray, n: int, table: np.ndarray) -> np.ndarray:
-    """The n ids of a payload; all blocks move on by one id at a time."""
+    """The n ids of a payload; all blocks move on by one id at a time. The table's size says how many bits the longest code has."""
+    most = len(table).bit_length() - 1
     at = np.asarray(block_bits, np.int64).copy()
     window = np.ndarray((len(payload) - 3,), ">u4", payload, strides=(1,))
     out = np.zeros((BLOCK, len(at)), np.int32)
@@ -244,13 +248,13 @@ def unpack(payload: bytes, block_bits: np.ndarray, n: int, table: np.ndarray) ->
             at = at[:-1]
             if not len(at):
                 break
-        got = table[(window[at >> 3].astype(np.int64) >> (16 - (at & 7))) & 0xFFFF]
+        got = table[(window[at >> 3].astype(np.int64) >> (32 - most - (at & 7))) & ((1 << most) - 1)]
         out[k, : len(at)] = got >> 5
         at += got & 31
     return out.T.reshape(-1)[:n]
 
 
-SEGMENTS = "part int, seq int, ids_before long, n_ids long, doc_ids array<long>, doc_tokens array<long>, block_bits array<long>, payload binary"
+SEGMENTS = "part int, seq int, ids_before long, n_ids long, doc_ids array<{}>, doc_tokens array<long>, block_bits array<long>, payload binary"
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -258,14 +262,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         source = f.read()
-    own = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    between = scratch(spark, "plain-ids")
+    own = texts(docs, id_col, text_col)
+    between, id_type = scratch(spark, "plain-ids"), own.schema["doc_id"].dataType.simpleString()
     tokenize(own, source, end_id).write.option("compression", "zstd").parquet(between)
-    plain = spark.read.schema(PLAIN).parquet(between)
-    bits = code_lengths(count_ids(plain))
+    plain = spark.read.schema(PLAIN.format(id_type)).parquet(between)
+    counts = count_ids(plain)
+    bits = code_lengths(counts, min(LONGEST, max(MOST_BITS, len(counts).bit_length())))
     spark.createDataFrame(list(bits.items()), "id int, bits int").coalesce(1).write.parquet(f"{path}/codebook")
     sent = spark.sparkContext.broadcast(canonical(bits))
-    arrow = to_arrow_schema(spark.createDataFrame([], SEGMENTS).schema)
+    schema = SEGMENTS.format(id_type)
+    arrow = to_arrow_schema(spark.createDataFrame([], schema).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,7 +280,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
                 payload, block_bits = pack(_plain(one.column("raw")[0].as_py(), one.column("width")[0].as_py()), *sent.value)
                 yield pa.RecordBatch.from_arrays([*one.columns[:6], pa.array([block_bits], arrow.field("block_bits").type), pa.array([payload], pa.binary())], schema=arrow)
 
-    plain.mapInArrow(run, SEGMENTS).write.option("compression", "uncompressed").parquet(f"{path}/segments")
+    plain.mapInArrow(run, schema).write.option("compression", "uncompressed").parquet(f"{path}/segments")
     drop_scratch(spark, between)
 
 
@@ -284,13 +290,13 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
 
     The driver gets the code book and a sum for each part.
     """
-    segments = spark.read.schema(SEGMENTS).parquet(f"{path}/segments")
+    segments = spark.read.parquet(f"{path}/segments")
     bits = {r.id: r.bits for r in spark.read.schema("id int, bits int").parquet(f"{path}/codebook").collect()}
     base, starts = 0, {}
     for r in sorted(segments.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()):
         starts[r.part], base = base, base + r.n
-    sent = spark.sparkContext.broadcast((decode_table(bits), starts))
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
+    sent = spark.sparkContext.broadcast((decode_table(bits, max([MOST_BITS, *bits.values()])), starts))
+    schema = f"doc_id {segments.schema['doc_ids'].dataType.elementType.simpleString()}, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
     arrow = to_arrow_schema(spark.createDataFrame([], schema).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,8 @@ from lodestrata.llm import common, decontaminate, fingerprints, language_id, lin
 @pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     df, told = queries.QUERIES[name](spark, SF), con.sql(queries.ORACLE_SQL[name])
     names = sorted(df.columns)
     assert names == sorted(told.columns)
@@ -153,7 +154,7 @@ def test_prefixes_are_shortened_until_the_recall(docs, monkeypatch):
         assert depth == 1 or near_dups.meeting(s, depth) >= near_dups.RECALL
     assert not near_dups.deep_enough({0: 1, 9: 1000}, 5, 0.8) and near_dups.deep_enough({0: 0, 3: 1}, 6, 0.8) and not near_dups.deep_enough({1: 5}, 6, 0.8) and near_dups.deep_enough({1: 5}, 5, 0.8)
     searched, met = [], near_dups._met
-    monkeypatch.setattr(near_dups, "_met", lambda sets, depth, threshold: searched.append(depth) or met(sets, depth, threshold))
+    monkeypatch.setattr(near_dups, "_met", lambda spots, depth, threshold: searched.append(depth) or met(spots, depth, threshold))
     base = [f"w{k}" for k in range(400)]
     close = [" ".join([*base[:k], "other", *base[k + 1 :]]) for k in (0, 100, 399)]
     assert near_dups.join_near(docs(*close)).where("n_links = 2").count() == 3 and searched == [6]  # close copies: no need of shorter prefixes

@@ -79,6 +79,18 @@ def test_pack_and_unpack():
         assert (tf.unpack(payload, blocks, n, tf.decode_table(bits)) == ids).all() and len(blocks) == -(-n // tf.BLOCK)
 
 
+def test_longer_codes():
+    """More ids than codes of 16 bits could have, and codes as long as a decoder's window takes."""
+    ids = np.concatenate([np.arange(70_000), np.zeros(5000, np.int64)])
+    bits = tf.code_lengths(dict(zip(*(x.tolist() for x in np.unique(ids, return_counts=True)))), 17)
+    for most in (17, 20, 25):
+        payload, blocks = tf.pack(ids, *tf.canonical(bits))
+        assert (tf.unpack(payload, blocks, len(ids), tf.decode_table(bits, most)) == ids).all()
+    skewed = tf.code_lengths({k: 2**k for k in range(40)}, tf.LONGEST)
+    ids = np.arange(40).repeat(30)
+    assert max(skewed.values()) == tf.LONGEST and (tf.unpack(*tf.pack(ids, *tf.canonical(skewed)), len(ids), tf.decode_table(skewed, tf.LONGEST)) == ids).all()
+
+
 def test_files_round_trip(spark):
     got = sorted(queries.op10_token_files(spark, "/root/testdata/sf0.001").collect())
     t, start = Tokenizer.from_file(WORDS), 0
@@ -95,11 +107,14 @@ def test_files_edges(spark, docs):
     a, b = (Tokenizer.from_file(WORDS).encode(x).ids for x in "ab")
     assert [(r.doc_id, r.start, r.ids) for r in got] == [(None, 0, [*a, 1]), (3, 2, [1]), (4, 3, [1]), (5, 4, [*b, *a, 1]), (5, 7, [*b, *a, 1])]
     assert not tf.token_files(docs("a").where("false"), WORDS).count()
+    named = spark.createDataFrame([("b", "x"), (None, "y"), ("a", None), *[("c", "same")] * 50], "doc_id string, text string")
+    told = tf.token_files(named, WORDS).orderBy("start").collect()
+    assert [r.doc_id for r in told] == [None, "a", "b", *["c"] * 50] and len({r.ids_crc32 for r in told[3:]}) == 1 and [r.start for r in told[3:]] == [5 + 2 * k for k in range(50)]
     common.drop_scratch(spark, path)
 
 
 def test_token_count_query(spark):
     t = Tokenizer.from_file(BYTES)
     got = {r.doc_id: r.n_tokens for r in queries.op2_token_counts(spark, SF).collect()}
-    sample = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 10 = 3").collect()
-    assert all(got[r.doc_id] == len(t.encode(r.text).ids) for r in sample) and len(got) == 1000
+    every = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    assert all(got[r.doc_id] == len(t.encode(r.text or "").ids) for r in every) and len(got) == len(every)
