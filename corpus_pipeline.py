@@ -68,10 +68,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows, from the table documents."""
+    """The last stage's rows, from the table documents. What a stage wrote on its way goes once its rows are stored."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = common.stored(docs, f"stage{k}")
-    return docs
+    for _, stage in STAGES[:-1]:
+        with common.freed(spark, kept=("stage",)):
+            docs = common.stored(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)
