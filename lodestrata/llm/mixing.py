@@ -10,6 +10,8 @@ order, until the words that are missing are met as nearly as one document allows
 first three digits part a source into 4096 buckets: sums of buckets find the one in which the source's last document lies, and
 only that bucket's documents are ordered.
 
+The order of sources is a window over one row for each: with hundreds of millions of sources that one task sorts on disk.
+
 Sources are ordered by code point, null last, and weigh `weights`, repeating. A null text has size 0, and so has an
 empty one; a source without words has target 0. Repeated rows each count. Rows of one doc_id, or a null doc_id, stand
 together in the seeded order and are taken together, so a source may then miss its target by their words.
@@ -22,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import name, stored
+from .common import freed, name, stored
 
 #: The fixed seed of the production mix.
 SEED = 17
@@ -57,6 +59,11 @@ def targets(by_source: DataFrame, weights: Sequence[int] = (3, 1, 2), total_shar
 
 def plan(own: DataFrame, weights: Sequence[int] = (3, 1, 2), total_share: float = 1.5, most_epochs: int = 2) -> DataFrame:
     """From sizes(): a row for each source, with its target and what repeats() needs."""
+    with freed(own.sparkSession, kept=("mix-plan",)):
+        return _plan(own, weights, total_share, most_epochs)
+
+
+def _plan(own: DataFrame, weights: Sequence[int], total_share: float, most_epochs: int) -> DataFrame:
     own = own.withColumn("bucket", F.substring("turn", 1, 3))
     buckets = stored(own.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "mix-buckets")  # 4096 rows a source at most
     goal = targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), weights, total_share, most_epochs)
@@ -89,7 +96,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), total_share: float
 
 def mixed(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **goals: object) -> DataFrame:
     """The mix itself: each row as often as it is taken, with its own columns."""
-    told = plan(stored(sizes(docs, seed, id_col, text_col, source_col), "mix-sizes"), **goals)
+    with freed(docs.sparkSession, kept=("mix-plan",)):
+        told = plan(stored(sizes(docs, seed, id_col, text_col, source_col), "mix-sizes"), **goals)
     every = docs.select(F.struct("*").alias("row"), turn_of(name(id_col), seed).alias("turn"), name(source_col).cast("string").alias("of_source"))
     out = every.join(told, F.col("of_source").eqNullSafe(F.col("plan_source")))
     return out.select("row", F.explode(F.array_repeat(F.lit(1), repeats().cast("int")))).select("row.*")
