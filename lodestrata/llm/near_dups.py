@@ -15,7 +15,8 @@
 
 So nothing but candidates is compared exactly, and no task gets a whole large node. Null texts and texts without words have no links: each is a class of its own.
 Repeated rows are copies. Rows whose doc_id is null take part; a class is named by its smallest doc_id (null if it has none). Sets with so many copies that
-they hold a thousandth of all rows get their class from a broadcast of at most a thousand rows, the others by a shuffle that they can't tilt.
+they hold a thousandth of all rows get their class from a broadcast of at most a thousand rows, the others by a shuffle that they can't tilt. What grows with
+the documents is joined by sorting at every size, so that small inputs run as large ones do.
 """
 
 from __future__ import annotations
@@ -291,14 +292,14 @@ def _subtrees(sets: DataFrame, depth: int) -> DataFrame:
     """set_id, tree, size, paths of the sets that aren't alone below their node of this depth. Nobody else meets anyone at a longer prefix of that tree."""
     spots = sets.select("set_id", "paths", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("set_id", "tree", _key(depth).alias("key"))
     nodes = spots.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    return spots.join(nodes, "key", "left_semi").select("set_id", "tree").join(sets.select("set_id", "size", "paths"), "set_id")
+    return spots.join(nodes.hint("merge"), "key", "left_semi").select("set_id", "tree").join(sets.select("set_id", "size", "paths").hint("merge"), "set_id")
 
 
 def _met(spots: DataFrame, depth: int, threshold: float) -> DataFrame:
     """Nodes of this depth: the sets that have candidates in each unit, and how many pairs are in each class of likeness (bin, n)."""
     spots = spots.withColumns({"depth": F.lit(depth), "key": _key(depth)})
     nodes = spots.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("size") * 8).alias("bytes")).where("n > 1")
-    units = in_blocks(spots.join(nodes, "key"), ["depth", "key"], "set_id").select(*UNIT, "block", "tree", "set_id", "size", "paths")
+    units = in_blocks(spots.join(nodes.hint("merge"), "key"), ["depth", "key"], "set_id").select(*UNIT, "block", "tree", "set_id", "size", "paths")
     schema = "depth int, key long, b1 int, b2 int, block int, tree int, set_id binary, bin int, n long"
     arrow = to_arrow_schema(spots.sparkSession.createDataFrame([], schema).schema)
     unit_columns = arrow.names[:7]
@@ -341,9 +342,9 @@ def _bodies(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col
         return {"set_id": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in made], "hashes": [s.tobytes() for s in made]}
 
     own = texts(docs, id_col, text_col)
-    bearing = own.join(wanted.select(F.col("first_id").alias("of")).distinct(), own["doc_id"].eqNullSafe(F.col("of")), "left_semi")
+    bearing = own.join(wanted.select(F.col("first_id").alias("of")).distinct().hint("merge"), own["doc_id"].eqNullSafe(F.col("of")), "left_semi")
     # rows of one doc_id may have several texts: each set is taken once, by its id
-    return map_texts(bearing, hashed, "set_id binary, hashes binary").select("set_id", "hashes").join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"])
+    return map_texts(bearing, hashed, "set_id binary, hashes binary").select("set_id", "hashes").join(wanted.select("set_id").hint("merge"), "set_id", "left_semi").dropDuplicates(["set_id"])
 
 
 def _links(units: DataFrame, threshold: float) -> DataFrame:
@@ -403,8 +404,8 @@ def _join_near(docs: DataFrame, threshold: float, size: int, recall: float, id_c
 
     members = met.where("set_id is not null").drop("bin", "n")
     wanted = stored(sets.join(members.select("set_id").distinct(), "set_id", "left_semi"), "wanted")
-    bodies = _bodies(docs, wanted, size, id_col, text_col).join(wanted.drop("first_id"), "set_id")
-    links = stored(_links(members.join(bodies, "set_id"), threshold), "links")
+    bodies = _bodies(docs, wanted, size, id_col, text_col).join(wanted.drop("first_id").hint("merge"), "set_id")
+    links = stored(_links(members.join(bodies.hint("merge"), "set_id"), threshold), "links")
 
     classes = components(links.where("a is not null").select("a", "b").distinct())
     counts = links.where("links is not null").groupBy(F.col("b").alias("set_id")).agg(F.sum("links").alias("links"))
