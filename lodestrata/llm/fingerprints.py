@@ -62,9 +62,9 @@ def minus(a: str, b: str) -> str:
 
 def peeled(cells: str, level: str = "0") -> str:
     """whole (all was recovered), plus and minus (digests recovered that the first or the second has alone)."""
-    pure = "array_distinct(transform(filter(s.cells, x -> abs(x.n) = 1 and x.c = xxhash64(x.k)), x -> named_struct('k', x.k, 'n', x.n)))"
-    left = f"""aggregate(u, x, (a, q) -> if(shiftright({own_bits('q.k', level)}, a.s) & {CELLS - 1} = a.v,
-        named_struct('n', a.n - q.n, 'k', a.k ^ q.k, 'c', a.c ^ xxhash64(q.k), 's', a.s, 'v', a.v), a))"""
+    pure = f"array_distinct(transform(filter(s.cells, x -> abs(x.n) = 1 and x.c = xxhash64(x.k)), x -> named_struct('k', x.k, 'n', x.n, 'c', x.c, 'b', {own_bits('x.k', level)})))"
+    left = f"""aggregate(u, x, (a, q) -> if(shiftright(q.b, x.s) & {CELLS - 1} = x.v,
+        named_struct('n', a.n - q.n, 'k', a.k ^ q.k, 'c', a.c ^ q.c, 's', x.s, 'v', x.v), a))"""
     # transform(array(x), u -> f(u))[0] names a value that is used more than once
     step = f"""transform(array({pure}), u -> if(size(u) = 0, named_struct('cells', s.cells, 'net', s.net, 'all', s.all, 'done', true),
         named_struct('cells', transform(s.cells, x -> {left}), 'net', s.net + aggregate(u, 0, (a, q) -> a + q.n), 'all', s.all + size(u), 'done', false)))[0]"""

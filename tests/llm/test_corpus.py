@@ -148,6 +148,13 @@ def test_repeated_rows_are_copies(docs):
     assert rows(got, "doc_id", "class_id", "n_links") == sorted([(4, 2, 3), (4, 2, 3), (2, 2, 3), (None, 2, 3), (9, 9, 0)], key=repr)
 
 
+def test_a_set_of_very_many_copies(docs):
+    """More copies than the thousandth of all rows that a shuffle may meet, beside other sets and rows without words."""
+    got = near_dups.join_near(docs(*["a b c d e f"] * 1500, *[None] * 3, *["g h i j k l"] * 2, *[" ".join(f"w{k}" for k in range(30))] * 1, " ".join(f"w{k}" for k in range(31))))
+    told = Counter((r.class_id, r.n_links, r.class_size) for r in got.collect())
+    assert told == {(0, 1499, 1500): 1500, **{(k, 0, 1): 1 for k in range(1500, 1503)}, (1503, 1, 2): 2, (1505, 1, 2): 2}
+
+
 def test_prefixes_are_shortened_until_the_recall(docs, monkeypatch):
     for s in (0.5, 0.8, 0.95):
         depth = next(d for d in range(near_dups.DEPTH, 0, -1) if near_dups.deep_enough({}, d, s))
