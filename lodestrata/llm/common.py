@@ -43,6 +43,18 @@ def ship(spark: SparkSession) -> None:
         setattr(context, f"_{top.name}_sent", True)
 
 
+_held: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """What a worker keeps from task to task: one thing at a time, so that an operator's tables go when the next operator's tasks come to the same worker."""
+    if key not in _held:
+        _held.clear()
+        pa.default_memory_pool().release_unused()
+        _held[key] = make()
+    return _held[key]
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just doc_id and text; other columns, whatever they are called, play no part."""
     ship(docs.sparkSession)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import freed, name, pieces, stored, texts, words
+from .common import freed, held, name, pieces, stored, texts, words
 
 #: Bytes of benchmark words in one slice, and words of an item in one part.
 SLICE_BYTES, PART_WORDS = 2_000_000, 10_000
@@ -233,15 +233,9 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> str:
 SPANS = "array<struct<start:long,end:long>>"
 
 
-_workers: dict[str, Phrases] = {}
-
-
 def _phrases(token: str, rows: list[tuple[str, bytes]], window: int) -> Phrases:
     """One for each worker and slice, kept from task to task."""
-    if token not in _workers:
-        _workers.clear()
-        _workers[token] = Phrases.of(rows, window)
-    return _workers[token]
+    return held(("phrases", token), lambda: Phrases.of(rows, window))
 
 
 def _search(docs: DataFrame, rows: Broadcast, window: int, with_text: bool) -> DataFrame:

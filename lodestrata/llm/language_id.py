@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, name, ship
+from .common import held, map_texts, name, ship
 
 UNKNOWN = "und"
 CHAIN, CONTEXT = 128, 16
@@ -285,16 +285,9 @@ def fit(docs: DataFrame, sample_docs: int = 400, sample_words: int = 400, id_col
     return train([(r.lang, [*map(sys.intern, r.words.split())]) for r in rows])
 
 
-_workers: dict[int, Labeler] = {}
-
-
 def _labeler(model: Model) -> Labeler:
     """One for each worker, kept from task to task."""
-    key = zlib.crc32(model.weights.tobytes())
-    if key not in _workers:
-        _workers.clear()
-        _workers[key] = Labeler(model)
-    return _workers[key]
+    return held(("labeler", zlib.crc32(model.weights.tobytes())), lambda: Labeler(model))
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

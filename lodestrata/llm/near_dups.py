@@ -40,7 +40,7 @@ MARGIN = 0.2
 #: A block has at most about so many sets, and bytes of shingles; a longer set is a block by itself.
 BLOCK, BLOCK_BYTES = 1024, 8 << 20
 #: Pairs of sets that are looked at together.
-PAIRS = 1 << 18
+PAIRS = 1 << 16
 #: Classes of likeness from the threshold to 1.
 BINS = 10
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)

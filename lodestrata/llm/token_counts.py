@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import map_texts
+from .common import held, map_texts
 
 #: White space as Unicode has it; what is no single plain space parts a text.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -99,16 +99,9 @@ class TokenCounter:
         return n
 
 
-_workers: dict[int, TokenCounter] = {}
-
-
 def _counter(tokenizer_json: str, whole: dict[str, str]) -> TokenCounter:
     """One for each worker, kept from task to task."""
-    key = hash(tokenizer_json)
-    if key not in _workers:
-        _workers.clear()
-        _workers[key] = TokenCounter(tokenizer_json, whole)
-    return _workers[key]
+    return held(("counter", hash(tokenizer_json)), lambda: TokenCounter(tokenizer_json, whole))
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

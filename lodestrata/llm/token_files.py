@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from tokenizers import Tokenizer
 
-from .common import drop_scratch, pieces, scratch, texts
+from .common import drop_scratch, held, pieces, scratch, texts
 from .token_counts import byte_letters
 
 MOST_BITS, LONGEST = 16, 25  # a decoder's window has 25 bits for certain
@@ -122,16 +122,9 @@ class Chunks(dict):
         return out
 
 
-_workers: dict[int, Chunks] = {}
-
-
 def _chunks(tokenizer_json: str, end_id: int | None) -> Chunks:
     """One for each worker, kept from task to task."""
-    key = hash((tokenizer_json, end_id))
-    if key not in _workers:
-        _workers.clear()
-        _workers[key] = Chunks(tokenizer_json, end_id)
-    return _workers[key]
+    return held(("chunks", hash((tokenizer_json, end_id))), lambda: Chunks(tokenizer_json, end_id))
 
 
 PLAIN = "part int, seq int, ids_before long, n_ids long, doc_ids array<{}>, doc_tokens array<long>, width int, raw binary"
